@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.llm.lookalikes import unify_text, visual_twins
+from siltline.llm.pairs import judge_pairs
 from siltline.llm.terms import typed_labels
 from siltline.session import table
 
@@ -31,5 +32,17 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify_text(table(spark, sf_dir, "posts").select("row_no", "original_text"), "original_text").select("row_no", "unified")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_unified": p2_unified}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_no, defect: the first defect that the ordered rules find in each defective pair."""
+    out = judge_pairs(table(spark, sf_dir, "questions").select("question_no", "question", "answer"))
+    return out.filter(F.size("defects") > 0).select("question_no", F.col("defects")[0].alias("defect"))
+
+
+def p5_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_no, defect: every defect triggered."""
+    out = judge_pairs(table(spark, sf_dir, "questions").select("question_no", "question", "answer"))
+    return out.select("question_no", F.explode("defects").alias("defect"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_unified": p2_unified, "p5_found": p5_found, "p5_all_defects": p5_all_defects}
 ORACLE: dict[str, str] = {}
