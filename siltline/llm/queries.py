@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltline.llm.cuts import cut_values
 from siltline.llm.lookalikes import unify_text, visual_twins
 from siltline.llm.pairs import judge_pairs
 from siltline.llm.terms import typed_labels
@@ -44,5 +45,17 @@ def p5_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_no", F.explode("defects").alias("defect"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_unified": p2_unified, "p5_found": p5_found, "p5_all_defects": p5_all_defects}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_no, field of every value of original_text and summary that was cut."""
+    return cut_values(table(spark, sf_dir, "posts")).filter("cut").select("row_no", "field")
+
+
+def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """platform, field, n_values, n_cut, share of cut values."""
+    out = cut_values(table(spark, sf_dir, "posts")).groupBy("platform", "field")
+    out = out.agg(F.count("*").alias("n_values"), F.sum(F.col("cut").cast("long")).alias("n_cut"))
+    return out.withColumn("share", F.round(F.col("n_cut") / F.col("n_values"), 6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_unified": p2_unified, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p6_found": p6_found, "p6_share": p6_share}
 ORACLE: dict[str, str] = {}
