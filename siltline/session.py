@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("siltline")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,6 +22,8 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    find_package(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +45,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Spread a table of few input splits over all cores before costly per-row work; a no-op on many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package; elsewhere pass it as --py-files."""
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
