@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from siltline.llm.cuts import cut_values
 from siltline.llm.lookalikes import unify_text, visual_twins
+from siltline.llm.mixing import mix_documents
+from siltline.llm.packing import pack_documents, pack_report
 from siltline.llm.pairs import judge_pairs
+from siltline.llm.personal import personal_pieces, without_personal
 from siltline.llm.terms import typed_labels
 from siltline.session import table
 
@@ -57,5 +60,45 @@ def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n_cut") / F.col("n_values"), 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_unified": p2_unified, "p5_found": p5_found, "p5_all_defects": p5_all_defects, "p6_found": p6_found, "p6_share": p6_share}
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, container, doc_id, piece, tokens of every piece of every document in every pack."""
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_name, capacity_tokens, n_containers, n_pieces, tokens, fill."""
+    packs = table(spark, sf_dir, "pack_sizes")
+    return pack_report(pack_documents(table(spark, sf_dir, "documents"), packs), packs)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_name, doc_id, source, tokens, uses of every document that a mix uses."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source of each mix was to reach and really reaches."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "posts").select(F.lit("posts").alias("tbl"), F.col("row_no").alias("key_no"), F.col("original_text").alias("text"))
+    media = table(spark, sf_dir, "media_items").select(F.lit("media_items").alias("tbl"), F.col("media_no").alias("key_no"), F.col("extracted_text").alias("text"))
+    return posts.unionByName(media)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, key_no, kind, start_pos of every piece of personal data."""
+    return personal_pieces(_personal_texts(spark, sf_dir), ["tbl", "key_no"], "text").select("tbl", "key_no", "kind", "start_pos")
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, key_no, masked: every text with a typed placeholder for each piece."""
+    return without_personal(_personal_texts(spark, sf_dir), "text").select("tbl", "key_no", "masked")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares)
+}
 ORACLE: dict[str, str] = {}
