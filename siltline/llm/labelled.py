@@ -59,7 +59,7 @@ SENTENCES = {
         "The {thing} failed after {n} minutes because {fault} kept growing during the second sprint.", "Use int64 keys and ipv6 routes; utf8 names, s3 buckets and k8s pods are fine.", "Both x86 and arm64 nodes are i18n ready.", "Only p95 and p99 latency matter here.", "Move from v1 to v2 before h3 cells are added, and check sha256 digests.",
         "Die Pipeline läuft jetzt in {n} Minuten, weil wir lange Laufzeiten vorher aussortieren.", "Wir haben gestern gemerkt, dass das Dashboard wegen {n} Fehlern nicht mehr fertig wurde.", "Die Fachabteilung wollte wissen, warum der Cluster nach dem Neustart {big} Zeilen verloren hat.", "Nach der Umstellung auf {tool} sind schiefe Verteilungen deutlich seltener geworden.", "Am wichtigsten ist für uns Übersichtlichkeit, auch wenn die Leitung das anders sieht.", "Zum Glück hatte unser neuer Kollege die Änderung schon dokumentiert.", "Ehrlich gesagt: Ohne Datenqualität nützt auch {tool} nichts.",
         "Nous avons découvert hier que la requête échouait après {n} minutes à cause d'une erreur de type.", "Cela paraît évident, mais l'équipe n'avait jamais mesuré la rapidité.", "Depuis la migration vers {tool}, les petits fichiers sont devenus beaucoup plus rares.", "El equipo quería saber por qué el clúster había perdido {big} filas durante la carga.", "Desde que migramos a {tool}, los valores nulos son mucho menos frecuentes.", "Parece óbvio, mas a direção nunca tinha medido a clareza.", "Ontem descobrimos que a tabela falhava depois de {n} minutos.",
-        "LECTURE {n}: NESTED DESIGN", "{TOOL} STUDY NOTES, VOLUME {n}", "{tool} Study Notes, Volume {n}", "{tool} study notes, volume {n} |", "~ {tool} study notes, volume {n} ~", "{tool} Study Notes, Volume {n}   {n}", "{n}   {TOOL} STUDY NOTES, VOLUME {n}", "Lecture {n}: Slow Design", "Lecture {n}: event-driven design", "~ Applied {tool} for a new joiner ~", "Applied {tool} for {team} |", "WORKSHOP HANDBOOK: OWNERSHIP AND STALE STATISTICS", "Workshop handbook: cost and {fault}", "With {big} events per second the {thing} spends most of its time on {fault}.", "{Fault} and {fault}, a {thing}: pick two.", "A {thing} is easier to explain to {team} than a clever one.", "The {thing} keeps {n} versions, so rolling back takes less than {n} minutes.", "{n}. {Team} reviewed the {thing}.", "Chapter {n}, Part {n}", "Session {n}, Room {n}", "The {thing} field guide", "Workshop Handbook: Memory Pressure And Wrong Data Types", "Applied {tool} For The Finance Report", "Page {n} of {n}", "{n} % of {n} teams", "x {n}", "{n}.{n} TB", "{n}/{n}", "[{n}]", "— {n} —", "Step {n}: check the {thing}", "Why {fault} hurt cost", "How a {thing} improved trust", "#dataengineering #kafka #sql", "What did I miss?", "Try it.", "Lesson learned: Whenever {fault} meet {fault}, the {thing} loses.",
+        "LECTURE {n}: NESTED DESIGN", "{TOOL} STUDY NOTES, VOLUME {n}", "{tool} Study Notes, Volume {n}", "{tool} study notes, volume {n} |", "~ {tool} study notes, volume {n} ~", "{tool} Study Notes, Volume {n}   {n}", "{n}   {TOOL} STUDY NOTES, VOLUME {n}", "Lecture {n}: Slow Design", "Lecture {n}: event-driven design", "~ Applied {tool} for a new joiner ~", "Applied {tool} for {team} |", "WORKSHOP HANDBOOK: OWNERSHIP AND {FAULT}", "WORKSHOP   HANDBOOK:   COST   AND   {FAULT}", "Workshop Handbook: Throughput And {Title}", "Applied {tool} For {TeamTitle}", "APPLIED {TOOL} FOR {TEAM}", "{Team} asked why the {thing} failed.", "Workshop handbook: cost and {fault}", "With {big} events per second the {thing} spends most of its time on {fault}.", "{Fault} and {fault}, a {thing}: pick two.", "A {thing} is easier to explain to {team} than a clever one.", "The {thing} keeps {n} versions, so rolling back takes less than {n} minutes.", "{n}. {Team} reviewed the {thing}.", "Chapter {n}, Part {n}", "Session {n}, Room {n}", "The {thing} field guide", "Workshop Handbook: Memory Pressure And Wrong Data Types", "Applied {tool} For The Finance Report", "Page {n} of {n}", "{n} % of {n} teams", "x {n}", "{n}.{n} TB", "{n}/{n}", "[{n}]", "— {n} —", "Step {n}: check the {thing}", "Why {fault} hurt cost", "How a {thing} improved trust", "#dataengineering #kafka #sql", "What did I miss?", "Try it.", "Lesson learned: Whenever {fault} meet {fault}, the {thing} loses.",
         "MERGE INTO dim USING stage ON dim.k = stage.k", "SELECT id, max(ts) FROM raw GROUP BY id", "df.repartition({n}, 'day')", "VACUUM audit RETAIN 168 HOURS", "OPTIMIZE sales ZORDER BY (day)", "@dataclass", "spark.conf.set('spark.sql.shuffle.partitions', {n})", "Our {thing} now finishes in {n} minutes instead of {big} seconds.", "Trust, ownership and a {thing}: pick two.", "The interviewer wanted to hear how {tool} handles {fault} when the {thing} restarts.", "Window functions replaced {n} self joins in the {thing}.", "{Team} asked why the {thing} needed {n} retries, and nobody had an answer.", "During the incident review we debugged the {thing} and found that {fault} caused the delay.", "When the schema changed, {tool} wrote nulls and the {thing} reported success.", "{tool} can express this in one query, but the {thing} stays readable with two.", "It sounds boring, yet naming the {thing} clearly improved cost for {team}.", "Invoice {long} and order number {four}-{four} were paid.", "Release 20{n}.{n}.{n} of host db-{n}.internal.example went out.", "Service account svc-loader@prod-{n} and bot@build-{n} run the jobs.",
     ],
 }
@@ -152,7 +152,7 @@ def labelled_texts(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int
     kinds = ["person"] * 6 + ["email"] * 3 + ["phone"] * 4 + ["id_number"] * 4 + ["address"] * 4 + [""] * 9
     fill = {
         "n": lambda: str(r.randint(1, 99)), "big": lambda: f"{r.randint(1, 40)},{digits(r, 3)}", "four": lambda: digits(r, r.choice([3, 4, 4])), "long": lambda: digits(r, r.choice([4, 5, 6, 8])), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(12, 16))),
-        "date": lambda: f"202{r.randint(3, 5)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", "tool": lambda: r.choice(TOOLS), "TOOL": lambda: r.choice(TOOLS).upper(), "thing": lambda: r.choice(THINGS), "fault": lambda: r.choice(FAULTS), "team": lambda: r.choice(TEAMS), "Fault": lambda: r.choice(FAULTS).capitalize(), "Team": lambda: r.choice(TEAMS).capitalize(), "host": lambda: r.choice(_HOSTS),
+        "date": lambda: f"202{r.randint(3, 5)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", "tool": lambda: r.choice(TOOLS), "TOOL": lambda: r.choice(TOOLS).upper(), "thing": lambda: r.choice(THINGS), "fault": lambda: r.choice(FAULTS), "team": lambda: r.choice(TEAMS), "FAULT": lambda: r.choice(FAULTS).upper(), "Title": lambda: r.choice(FAULTS).title(), "TeamTitle": lambda: r.choice(TEAMS).title(), "TEAM": lambda: r.choice(TEAMS).upper(), "Fault": lambda: r.choice(FAULTS).capitalize(), "Team": lambda: r.choice(TEAMS).capitalize(), "host": lambda: r.choice(_HOSTS),
     }
     out = []
     for _ in range(n):

@@ -11,6 +11,7 @@ from siltline.llm.mixing import mix_documents
 from siltline.llm.packing import pack_documents, pack_report
 from siltline.llm.pairs import judge_pairs
 from siltline.llm.personal import personal_pieces, without_personal
+from siltline.llm.scans import repaired, scan_defects
 from siltline.llm.terms import typed_labels
 from siltline.session import table
 
@@ -97,8 +98,18 @@ def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_personal(_personal_texts(spark, sf_dir), "text").select("tbl", "key_no", "masked")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_no, defect: one row for each defect that occurs in the text of an item."""
+    return scan_defects(table(spark, sf_dir, "media_items"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_no, paragraphs: every item's text as continuous paragraphs."""
+    return repaired(table(spark, sf_dir, "media_items"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares)
+    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p3_found, p3_repaired, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares)
 }
 ORACLE: dict[str, str] = {}
