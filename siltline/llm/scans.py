@@ -285,7 +285,7 @@ def repaired(media: DataFrame) -> DataFrame:
     """media_no, paragraphs: each item's text as continuous paragraphs without the traces of scanning."""
     f = Findings(media)
     marks = f.misread().groupBy("media_no").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("fix"))
-    joins = f.hyphens().groupBy("media_no").agg(F.collect_set(F.concat_ws(" ", "left", "right")).alias("joins"))
+    joins = f.hyphens().groupBy("media_no").agg(F.collect_set(F.concat_ws("\x01", "left", "right")).alias("joins"))
     heads = f.titles().groupBy("media_no").agg(F.collect_set("key").alias("heads"))
     items = f.items.select("media_no", "media_type", "extracted_text").join(marks, "media_no", "left").join(joins, "media_no", "left").join(heads, "media_no", "left")
 
@@ -308,7 +308,7 @@ def repaired(media: DataFrame) -> DataFrame:
                         g = fix.get(w.lower())
                         return w if g is None else g.upper() if w.isupper() and len(w) > 1 else g.capitalize() if w[:1].isupper() else g
 
-                    out.append((no, k, "drop" if drop else "blank" if not bare else "text", _WORD.sub(right, bare) if fix else bare, " ".join(sorted(split))))
+                    out.append((no, k, "drop" if drop else "blank" if not bare else "text", _WORD.sub(right, bare) if fix else bare, "\x02".join(sorted(split))))
             yield pd.DataFrame(out, columns=["media_no", "line", "what", "text", "splits"])
 
     lines = items.mapInPandas(classify, "media_no long, line long, what string, text string, splits string").filter("what <> 'drop'")
@@ -319,7 +319,7 @@ def repaired(media: DataFrame) -> DataFrame:
     text = lines.filter("what = 'text'").withColumn("para", F.sum(F.when(new, 1).otherwise(0)).over(by))
     left = F.lower(F.regexp_extract(F.coalesce("before", F.lit("")), r"(\p{L}+)[-‐¬­=]\s*$", 1))
     right = F.lower(F.regexp_extract("text", r"^(\p{L}+)", 1))
-    glue = (left != "") & F.array_contains(F.transform(F.split("splits", r"(?<=\S) (?=\S+ \S+(?: |$))"), lambda x: x), F.concat_ws(" ", left, right))
+    glue = (left != "") & F.array_contains(F.split("splits", "\x02"), F.concat_ws("\x01", left, right))
     own = (left != "") & ~glue
     text = text.withColumn("join", F.when(glue, "g").when(own, "o").otherwise("s"))
     paras = text.groupBy("media_no", "para").agg(F.array_sort(F.collect_list(F.struct("line", "join", "text"))).alias("ls"))
