@@ -46,13 +46,13 @@ REFUSALS = [
 ]
 # Frequent small words that belong to one language more than to the others.
 SMALL_WORDS = {
-    "en": "the and of to is are was were with for that this which when what how does would you your before after because from by only can it its not an as at be on if or how why many explain describe",
-    "de": "der die das und nicht ist sind war wir wie was wenn mit für auf dem den des ein eine einer man sich auch nach von zu zum zur warum welche sie ich hatte wegen erst schon immer heute unser unsere dass jetzt",
-    "fr": "le les des est une dans pour que qui nous vous avec sur pas plus sont était du au aux et ou quand comment pourquoi cela même ne ce cette qu il elle faut déjà lorsque parce avait",
-    "es": "el los las del una para por que con cómo qué cuando muy pero más lo sin ya está son se y nuestra nuestro había desde antes después porque es al si quería unas",
-    "pt": "os as uma para por que com como quando mas mais não são dos das no na em do da e nossa nosso tinha desde antes depois porque sem já está pelo pela um ao isso",
-    "it": "il gli una per che con come quando ma più non sono della dei delle nel di e nostra nostro aveva prima dopo perché senza già è al si del le cosa questo quanto dal",
-    "nl": "de het een van en niet is zijn was wij we wat hoe waarom wanneer met voor op ook naar te om dat die onze ons had omdat zonder al worden kun je meer bij dan",
+    "en": "the and of to is are was were with for that this which when what how does would you your before after because from by only can it its not an as at be on if or how why many explain describe we our each than then other nobody until whenever without into within through while there us they has have had",
+    "de": "der die das und nicht ist sind war wir wie was wenn mit für auf dem den des ein eine einer man sich auch nach von zu zum zur warum welche sie ich hatte wegen erst schon immer heute unser unsere dass jetzt ohne nützt wer deshalb lohnt sollte haben mussten gestern",
+    "fr": "le les des est une dans pour que qui nous vous avec sur pas plus sont était du au aux et ou quand comment pourquoi cela même ne ce cette qu il elle faut déjà lorsque parce avait mieux avant après apres depuis chaque notre nos voulait hier maintenant",
+    "es": "el los las del una para por que con cómo qué cuando muy pero más lo sin ya está son se y nuestra nuestro había desde antes después porque es al si quería unas siempre despues menudo cada ni siquiera ayer mejor ahora",
+    "pt": "os as uma para por que com como quando mas mais não são dos das no na em do da e nossa nosso tinha desde antes depois porque sem já está pelo pela um ao isso o sempre foi cada nem mesmo muitas vezes ontem melhor agora",
+    "it": "il gli una per che con come quando ma più non sono della dei delle nel di e nostra nostro aveva prima dopo perché senza già è al si del le cosa questo quanto dal ogni anche spesso meglio ieri ora nemmeno abbiamo",
+    "nl": "de het een van en niet is zijn was wij we wat hoe waarom wanneer met voor op ook naar te om dat die onze ons had omdat zonder al worden kun je meer bij dan ze elk vaak wordt later beter sinds gisteren nu",
 }
 _CODE = r"^\s*(?:@\w+|[\w.]+\([^)]*\)\s*|.*[;{}]\s*|(?:SELECT|MERGE INTO|VACUUM|OPTIMIZE|INSERT INTO|UPDATE|DELETE FROM|CREATE|DROP|ALTER|WITH|FROM)\b.*|(?:import|from) [\w.]+(?: import .*)?|def \w+\(.*|class \w+.*:|[\w.]+\.\w+\(.*\)|\[[^\]]*\]|\w+ ?= ?\S.*)$"
 _BULLET = r"^\s*(?:[-*•–+]|\d+[.)])\s+\S"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.llm.cuts import cut_values
+from siltline.llm.languages import document_languages, language_cases
 from siltline.llm.lookalikes import unify_text, visual_twins
 from siltline.llm.mixing import mix_documents
 from siltline.llm.packing import pack_documents, pack_report
@@ -108,8 +109,19 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "media_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, scope, lang_code: documents with a missing or wrong label, and further languages of mixed documents."""
+    return language_cases(table(spark, sf_dir, "documents"))
+
+
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_pos, end_pos, lang_code, confidence of every stretch, with the document's own language."""
+    out = document_languages(table(spark, sf_dir, "documents")).select("doc_id", "main", "confidence", F.explode("stretches").alias("s"))
+    return out.select("doc_id", F.col("main").alias("doc_lang"), F.round("confidence", 4).alias("doc_confidence"), "s.start_pos", "s.end_pos", F.col("s.code").alias("lang_code"), F.round("s.confidence", 4).alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p3_found, p3_repaired, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares)
+    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p3_found, p3_repaired, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_stretches)
 }
 ORACLE: dict[str, str] = {}
