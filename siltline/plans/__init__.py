@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["instants"]
+MODULES = ["instants", "labels", "questions", "posts"]
 
 
 def registered() -> tuple[dict, dict]:
