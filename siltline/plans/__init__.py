@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["instants", "labels", "questions", "posts"]
+MODULES = ["instants", "labels", "questions", "posts", "media", "runs"]
 
 
 def registered() -> tuple[dict, dict]:
