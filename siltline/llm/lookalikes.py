@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.session import widened
+from siltline.session import checkpointed, widened
 
 # Letters of other scripts and the Latin letter that they look like.
 LETTERS = {
@@ -121,7 +121,7 @@ class Rewriter:
         for m, best in self.to.items():
             self.automaton.add_word(m, (len(m), best))
         self.automaton.make_automaton()
-        self.plain = re.compile("[" + re.escape("".join({c for m in self.to for c in m if ord(c) > 127 or len(m) == 1})) + "]")
+        self.marks = frozenset(c for m in self.to for c in m if ord(c) > 127 or len(m) == 1)
 
     def once(self, text: str) -> str:
         out, at = [], 0
@@ -134,8 +134,8 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str) -> str:
-        for _ in range(8):  # an accent may meet its letter only when what stood between is gone
-            if not self.plain.search(text):
+        for _ in range(0 if text.isascii() and "\t" not in text and "\r" not in text else 8):  # an accent may meet its letter only when what stood between is gone
+            if self.marks.isdisjoint(text):
                 break
             new = self.once(text)
             if new == text:
@@ -186,7 +186,7 @@ def visual_twins(df: DataFrame, key: str, column: str) -> DataFrame:
     """
     u = unify_text(df.select(key, column).filter(F.col(column).isNotNull()), column)
     digest = lambda c: F.sha2(F.col(c), 256)
-    rows = u.select(F.col(key).alias("k"), digest("unified").alias("u"), digest(column).alias("w"))
+    rows = checkpointed(u.select(F.col(key).alias("k"), digest("unified").alias("u"), digest(column).alias("w")))
     texts = rows.groupBy("u", "w").agg(F.count("*").alias("n"))
     several = texts.groupBy("u").agg(F.count("*").alias("writings")).filter("writings > 1").select("u")
     rows = rows.join(several, "u", "left_semi")
