@@ -63,15 +63,17 @@ def _plain(c: Column) -> Column:
 
 
 def _votes(c: Column) -> Column:
-    """Map-like struct of small-word hits per language."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", "  "), F.lit(" "))
-    return F.struct(*[F.regexp_count(padded, F.lit(" (?:" + "|".join(w.split()) + ") ")).alias(k) for k, w in SMALL_WORDS.items()])
-
-
-def _leading(v: str) -> tuple[Column, Column]:
-    """(language of most votes, its votes)."""
-    best = F.array_max(F.array(*[F.struct(F.col(f"{v}.{k}").alias("n"), F.lit(k).alias("k")) for k in SMALL_WORDS]))
-    return best["k"], best["n"]
+    """Small-word hits of each language, as one array that is worked out once: the words are split once and looked up."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    zero = F.array(*[F.lit(0) for _ in SMALL_WORDS])
+    codes: dict[str, list[int]] = {}
+    for k, w in enumerate(SMALL_WORDS.values()):
+        for x in w.split():
+            codes.setdefault(x, []).append(k)
+    table = F.create_map(*[F.lit(x) for w, ks in codes.items() for x in (w, "".join("1" if k in ks else "0" for k in range(len(SMALL_WORDS))))])
+    hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda h: h.isNotNull())
+    add = lambda a, h: F.transform(a, lambda n, k: n + F.substring(h, k + 1, 1).cast("int"))
+    return F.aggregate(hits, zero, add)
 
 
 def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
@@ -80,6 +82,8 @@ def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer
     flat = F.regexp_replace(a, r"[\s\p{Z}\p{Cf}]+", " ")
     bare = F.lower(F.trim(F.regexp_replace(flat, r"^[\s(\[{<\"'*_-]+|[\s)\]}>\"'*_.!?…—–-]+$", "")))
     out = df.withColumns({"j_q": _plain(q), "j_a": _plain(a), "j_bare": bare, "j_qv": _votes(q), "j_av": _votes(a)})
+    # a filter between the projections keeps the optimizer from working the votes out at every place they are used
+    out = out.filter(F.size("j_av") + F.size("j_qv") > F.rand(0))
     empty = (F.col("j_a") == "") | F.col("j_bare").isin(PLACEHOLDERS) | (F.col("j_bare") == "")
 
     # what an answer adds around the question: a label before it, the question itself (perhaps numbered or labelled) again
@@ -93,17 +97,15 @@ def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer
     low = F.regexp_replace(F.lower(flat), "[’‘`]", "'")
     start = F.regexp_replace(low, rf"^\s*(?:{OPENINGS}\s*[,.:;!-]*\s*(?:but|however|aber|pero|mais|mas|ma|maar)?\s*,?\s*)+", "")
     start = F.regexp_replace(start, r"^\s*(?:but|however),?\s*", "")
-    refused = F.lit(False)
-    for r in REFUSALS:
-        refused |= F.regexp_extract(F.substring_index(start, ". ", 1), f"({r})", 1) != ""
-    refused &= F.length(start) < 260
-
-    ql, qn = _leading("j_qv")
-    al, an = _leading("j_av")
-    in_own = F.coalesce(*[F.when(ql == k, F.col(f"j_av.{k}")) for k in SMALL_WORDS])
+    refused = F.substring_index(start, ". ", 1).rlike("|".join(f"(?:{r})" for r in REFUSALS)) & (F.length(start) < 260)
+
+    qn, an = F.array_max("j_qv"), F.array_max("j_av")
+    ql, al = F.array_position("j_qv", qn), F.array_position("j_av", an)
+    in_own = F.element_at("j_av", ql.cast("int"))
     latin = lambda c: F.regexp_count(c, F.lit(r"\p{IsLatin}"))
     other = lambda c: F.regexp_count(c, F.lit(r"[\p{L}&&[^\p{IsLatin}]]"))
-    script = ((latin(q) > 3 * other(q)) & (other(a) > 3 * latin(a))) | ((other(q) > 3 * latin(q)) & (latin(a) > 3 * other(a)) & (latin(a) > 8))
+    foreign_letters = F.regexp_count(F.concat(q, a), F.lit(r"[\p{L}&&[^\p{IsLatin}]]")) > 0
+    script = F.when(foreign_letters, ((latin(q) > 3 * other(q)) & (other(a) > 3 * latin(a))) | ((other(q) > 3 * latin(q)) & (latin(a) > 3 * other(a)) & (latin(a) > 8))).otherwise(False)
     foreign = script | ((qn >= 2) & (an >= 2) & (ql != al) & (an >= 2 * in_own + 1))
 
     last = F.regexp_replace(F.element_at(F.split(F.regexp_replace(a, r"\s+$", ""), r"\n"), -1), r"^\s+", "")
