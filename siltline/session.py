@@ -59,3 +59,9 @@ def find_package(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
+def out_schema(df: DataFrame, **new: str) -> str:
+    """DDL of the columns of ``df`` with new ones behind them; a new column takes the place of one of its name."""
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new]
+    return ", ".join(kept + [f"`{k}` {t}" for k, t in new.items()])

@@ -15,7 +15,7 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def hourly_stream(events: DataFrame, late: str = "2 days") -> DataFrame:
     """hour, event_type, n, total of a stream of events; rows later than ``late`` behind the newest are left out."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
