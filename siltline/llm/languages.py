@@ -276,6 +276,8 @@ def document_languages(documents: DataFrame, net: Network | None = None) -> Data
                 for i, (t, p) in enumerate(zip(texts, label_positions(own, texts), strict=True)):
                     if (j := judge(t, p)) is not None:
                         rows.append((i, j[0], j[1], [{"code": k, "confidence": v} for k, v in j[2].items()], [{"start_pos": a, "end_pos": e, "code": k, "confidence": v} for a, e, k, v, whole in j[3] if whole]))
+                if not rows:
+                    continue
                 got = pd.DataFrame(rows, columns=["i", "main", "confidence", "more", "stretches"])
                 at = got.pop("i").to_numpy(np.int64)
                 got.insert(0, "label_code", c["label_code"].to_numpy()[at])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.session import checkpointed, widened
+from siltline.session import checkpointed, out_schema, widened
 
 # Letters of other scripts and the Latin letter that they look like.
 LETTERS = {
@@ -159,7 +159,8 @@ def member_counts(df: DataFrame, column: str) -> dict[str, int]:
             total.update("".join(b[column].dropna()))
         keep = _members()
         got = [(c, n) for c, n in total.items() if c in keep]
-        yield pd.DataFrame(got, columns=["c", "n"])
+        if got:
+            yield pd.DataFrame(got, columns=["c", "n"])
 
     parts = widened(df.select(column)).mapInPandas(count, "c string, n long")
     return {r.c: r.n for r in parts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
@@ -168,7 +169,7 @@ def member_counts(df: DataFrame, column: str) -> dict[str, int]:
 def unify_text(df: DataFrame, column: str, out: str = "unified", counts: dict[str, int] | None = None) -> DataFrame:
     """Add ``out``: the column with every look-alike replaced by its class's most frequent member."""
     counts = member_counts(df, column) if counts is None else counts
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
+    schema = out_schema(df, **{out: "string"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rewrite = Rewriter(counts)

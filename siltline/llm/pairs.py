@@ -117,5 +117,5 @@ def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer
 
     rules = [("empty_answer", empty), ("copies_question", copies & ~empty), ("refusal", refused & ~empty), ("other_language", foreign & ~empty), ("truncated_answer", cut & ~empty)]
     hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
-    names = [F.col(f"`{c}`") for c in df.columns]
+    names = [F.col(f"`{c}`") for c in df.columns if c != "defects"]
     return out.select(*names, hits.alias("defects"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.labelled import GIVEN, labelled_texts
-from siltline.session import widened
+from siltline.session import out_schema, widened
 
 KINDS = ["email", "phone", "id_number", "address", "person"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -311,6 +311,8 @@ def personal_pieces(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         decoder = Decoder(field)
         for b in batches:
             rows = [(n, kind, s, e) for n, spans in enumerate(decoder.find(list(b[text]))) for s, e, kind in spans]
+            if not rows:
+                continue
             got = b[keys].iloc[[r[0] for r in rows]].reset_index(drop=True)
             got["kind"], got["start_pos"], got["end_pos"] = [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
             yield got
@@ -320,7 +322,7 @@ def personal_pieces(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def without_personal(df: DataFrame, text: str, out: str = "masked") -> DataFrame:
     """Add ``out``: the text with a typed placeholder such as ``[PHONE]`` in place of each piece, all else unchanged."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
+    schema = out_schema(df, **{out: "string"})
     field = trained()
 
     def mask(t: str | None, spans: list[tuple[int, int, str]]) -> str | None:

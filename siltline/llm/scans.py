@@ -160,7 +160,8 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
             pairs, c = np.unique(x[:-1] * len(words) + x[1:], return_counts=True)
             h = _hash(words)
             yield pd.DataFrame({"word": pd.Series(words, dtype=object), "pair": pd.Series([None] * len(words), dtype="Int64"), "n": n})
-            yield pd.DataFrame({"word": pd.Series([None] * len(pairs), dtype=object), "pair": pd.Series(_pair(h[pairs // len(words)], h[pairs % len(words)]), dtype="Int64"), "n": c})
+            if len(pairs):
+                yield pd.DataFrame({"word": pd.Series([None] * len(pairs), dtype=object), "pair": pd.Series(_pair(h[pairs // len(words)], h[pairs % len(words)]), dtype="Int64"), "n": c})
 
     parts = widened(texts).mapInPandas(run, "word string, pair long, n long")
     return parts.groupBy("word", "pair").agg(F.sum("n").alias("n"))
@@ -204,6 +205,8 @@ def _scan(items: DataFrame, bad: dict[str, str], structured: bool) -> DataFrame:
                         out.append((k, "bad", w, words[j - 1] if j else "", words[j + 1] if j + 1 < len(words) else "", 1))
                     elif "-" in w:
                         out += [(k, "bad", p, "", "", 1) for p in w.split("-") if p in good and not p.isalpha()]
+            if not out:
+                continue
             got = pd.DataFrame(out, columns=["row", "what", "a", "b", "c", "n"])
             at = got.pop("row").to_numpy(np.int64)
             for c in ("media_no", "post_id", "media_path"):
@@ -309,7 +312,8 @@ def repaired(media: DataFrame) -> DataFrame:
                         return w if g is None else g.upper() if w.isupper() and len(w) > 1 else g.capitalize() if w[:1].isupper() else g
 
                     out.append((no, k, "drop" if drop else "blank" if not bare else "text", _WORD.sub(right, bare) if fix else bare, "\x02".join(sorted(split))))
-            yield pd.DataFrame(out, columns=["media_no", "line", "what", "text", "splits"])
+            if out:
+                yield pd.DataFrame(out, columns=["media_no", "line", "what", "text", "splits"])
 
     lines = items.mapInPandas(classify, "media_no long, line long, what string, text string, splits string").filter("what <> 'drop'")
     by = W.partitionBy("media_no").orderBy("line")

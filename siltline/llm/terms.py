@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.session import widened
+from siltline.session import out_schema, widened
 
 BROADCAST_TERMS = 50_000
 UNMATCHED = 0
@@ -239,7 +239,7 @@ def match_labels(entries: DataFrame, reference: DataFrame, shards: int | None =
         shards = -(-reference.limit(BROADCAST_TERMS * 1000).count() // BROADCAST_TERMS) or 1
     if shards == 1:
         rows = [(r.term_id, r.kind, r.term, list(r.aliases or [])) for r in reference.collect()]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields) + ", term_id long"
+        schema = out_schema(entries, term_id="long")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = Matcher(rows)
