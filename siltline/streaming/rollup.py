@@ -55,5 +55,10 @@ def ingest_captures(stream: DataFrame, store: str, checkpoint: str, key: str = "
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The event table as a stream of its files."""
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/events.parquet")
+    """The event table as a stream of its files; it may be one file or a folder of them."""
+    path = f"{sf_dir}/events.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files_per_batch)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
