@@ -1,0 +1,21 @@
+"""Local paths in text."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltline.functions.paths import path_kinds, redact_paths
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (r"run c:\Users\Me\x.py", "run <LOCAL_PATH>"), (r"run c:\\Users\\Me\\x.py", "run <LOCAL_PATH>"), (r"on \\server\share\f", "on <SHARE>"), (r"in %APPDATA%\x", "in <LOCAL_PATH>"), ("at /home/me/x.txt now", "at <LOCAL_PATH> now"),
+        ("n//2 and m=m//10 with I/O", "n//2 and m=m//10 with I/O"), ("'%d/%m/%Y'", "'%d/%m/%Y'"), ("https://a.example/home/x", "https://a.example/home/x"), ("", ""), (None, None),
+    ],
+)
+def test_paths(spark, text, want):
+    r = spark.createDataFrame([(text,)], "t string").select(redact_paths(F.col("t")).alias("r"), path_kinds(F.col("t")).alias("k")).first()
+    assert r.r == want
+    assert bool(r.k) == (text != want)
