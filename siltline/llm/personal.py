@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.labelled import GIVEN, labelled_texts
+from siltline.llm.lookalikes import Rewriter
 from siltline.session import out_schema, widened
 
 KINDS = ["email", "phone", "id_number", "address", "person"]
@@ -206,6 +207,22 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     return (start, end) if len(words) >= 2 and max(map(len, words)) > 2 else None
 
 
+@functools.cache
+def _plain_table() -> dict[int, str]:
+    """Look-alike code points and what they look like, one character or none."""
+    to = Rewriter({chr(c): 1 for c in range(32, 127)}).to
+    return {ord(a): b for a, b in to.items() if len(a) == 1 and len(b) < 2 and a != "\t"}
+
+
+def plain(text: str) -> tuple[str, list[int] | None]:
+    """The text as it looks, and where its characters stand in the stored text (None: at the same places)."""
+    if text.isascii():
+        return text, None
+    table = _plain_table()
+    out = text.translate(table)
+    return out, None if len(out) == len(text) else [i for i, c in enumerate(text) if table.get(ord(c), c)]
+
+
 class Decoder:
     """Viterbi decoding of batches of texts."""
 
@@ -281,6 +298,12 @@ class Decoder:
         return out
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """(start, end, kind) of the pieces of personal data of each text, read as it looks."""
+        looks = [plain(t) for t in texts]
+        found = self.find_plain([t for t, _ in looks])
+        return [spans if at is None else [(at[a], at[b - 1] + 1, k) for a, b, k in spans] for spans, (_, at) in zip(found, looks, strict=True)]
+
+    def find_plain(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the pieces of personal data of each text."""
         found = []
         for text, (words, starts, labels) in zip(texts, self.labels(texts), strict=True):
