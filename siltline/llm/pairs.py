@@ -63,17 +63,10 @@ def _plain(c: Column) -> Column:
 
 
 def _votes(c: Column) -> Column:
-    """Small-word hits of each language, as one array that is worked out once: the words are split once and looked up."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
-    zero = F.array(*[F.lit(0) for _ in SMALL_WORDS])
-    codes: dict[str, list[int]] = {}
-    for k, w in enumerate(SMALL_WORDS.values()):
-        for x in w.split():
-            codes.setdefault(x, []).append(k)
-    table = F.create_map(*[F.lit(x) for w, ks in codes.items() for x in (w, "".join("1" if k in ks else "0" for k in range(len(SMALL_WORDS))))])
-    hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda h: h.isNotNull())
-    add = lambda a, h: F.transform(a, lambda n, k: n + F.substring(h, k + 1, 1).cast("int"))
-    return F.aggregate(hits, zero, add)
+    """Different small words of each language, as one array; the words are split once and met with each language's set."""
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+", " "), " "))
+    sets = [F.array(*map(F.lit, w.split())) for w in SMALL_WORDS.values()]
+    return F.element_at(F.transform(F.array(words), lambda ws: F.array(*[F.size(F.array_intersect(ws, s)) for s in sets])), 1)
 
 
 def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
