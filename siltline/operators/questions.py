@@ -47,7 +47,7 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def merge_similar(questions: DataFrame, threshold: float = THRESHOLD, rounds: int = 60) -> DataFrame:
+def merge_similar(questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """question_no, survivor_no: each question with the first kept question that it is like enough.
 
     Greedy in order of arrival: a question is kept unless an earlier *kept* one is similar. A round decides all
@@ -59,9 +59,7 @@ def merge_similar(questions: DataFrame, threshold: float = THRESHOLD, rounds: in
     pairs = checkpointed(similar_pairs(nodes.filter(F.size("words") > 0).select("id", "words"), threshold))
     state = checkpointed(nodes.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
     todo = checkpointed(pairs.select(F.col("b").alias("id")).distinct())
-    for _ in range(rounds):
-        if not todo.limit(1).count():
-            break
+    while todo.limit(1).count():  # a round decides at least the earliest undecided question
         edges = pairs.join(todo, pairs.b == todo.id, "left_semi")
         known = edges.join(state.select(F.col("id").alias("a"), "leader"), "a", "left")
         seen = known.groupBy("b").agg(F.max(F.col("leader").isNull()).alias("waits"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("first"))

@@ -31,24 +31,24 @@ def join_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""
-WITH t AS (SELECT sha256, max(nullif(trim(extracted_text, ' '), '')) AS text FROM media_items WHERE media_no % 3 <> 0 AND sha256 IS NOT NULL GROUP BY 1)
+WITH t AS (SELECT sha256, max(nullif(trim(extracted_text, ' '), '')) AS text FROM media_items WHERE ocr_status IS NOT NULL AND sha256 IS NOT NULL GROUP BY 1)
 SELECT m.media_no, CASE WHEN m.sha256 IS NULL THEN 'no digest' WHEN t.sha256 IS NULL THEN 'unresolved' WHEN t.text IS NULL THEN 'no text' ELSE 'available' END AS status FROM media_items m LEFT JOIN t USING (sha256)""")
 def join_transcription(spark: SparkSession, d: str) -> DataFrame:
-    """The status of every item's transcription in another listing."""
-    m = _t(spark, d, "media_items").select("media_no", "sha256", "extracted_text")
-    t = m.filter("media_no % 3 <> 0 and sha256 is not null").groupBy("sha256").agg(F.max(F.nullif(F.trim("extracted_text"), F.lit(""))).alias("text"), F.lit(True).alias("there"))
+    """The status of every item's transcription in the listing of processed files."""
+    m = _t(spark, d, "media_items").select("media_no", "sha256", "extracted_text", "ocr_status")
+    t = m.filter("ocr_status is not null and sha256 is not null").groupBy("sha256").agg(F.max(F.nullif(F.trim("extracted_text"), F.lit(""))).alias("text"), F.lit(True).alias("there"))
     s = F.when(F.col("sha256").isNull(), "no digest").when(F.col("there").isNull(), "unresolved").when(F.col("text").isNull(), "no text").otherwise("available")
     return m.select("media_no", "sha256").join(t, "sha256", "left").select("media_no", s.alias("status"))
 
 
 @R.query("""
-WITH s AS (SELECT media_path, max(extraction_method) AS em, max(ocr_quality) AS oq FROM media_items WHERE media_no % 2 = 0 GROUP BY 1)
-SELECT m.media_no, coalesce(nullif(trim(s.em, ' '), ''), m.extraction_method) AS extraction_method, coalesce(nullif(trim(s.oq, ' '), ''), m.ocr_quality) AS ocr_quality FROM media_items m LEFT JOIN s USING (media_path)""")
+WITH s AS (SELECT sha256, max(extraction_method) AS em, max(ocr_quality) AS oq FROM media_items WHERE sha256 IS NOT NULL GROUP BY 1)
+SELECT m.media_no, coalesce(nullif(trim(s.em, ' '), ''), m.extraction_method) AS extraction_method, coalesce(nullif(trim(s.oq, ' '), ''), m.ocr_quality) AS ocr_quality FROM media_items m LEFT JOIN s USING (sha256)""")
 def join_media_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Items with stored readings: a stored value wins where it says anything."""
-    m = _t(spark, d, "media_items").select("media_no", "media_path", "extraction_method", "ocr_quality")
-    s = m.filter("media_no % 2 = 0").groupBy("media_path").agg(F.max("extraction_method").alias("em"), F.max("ocr_quality").alias("oq"))
-    j = m.join(s, "media_path", "left")
+    """Items with the stored readings of their bytes: a stored value wins where it says anything."""
+    m = _t(spark, d, "media_items").select("media_no", "sha256", "extraction_method", "ocr_quality")
+    s = m.filter("sha256 is not null").groupBy("sha256").agg(F.max("extraction_method").alias("em"), F.max("ocr_quality").alias("oq"))
+    j = m.join(s, "sha256", "left")
     return j.select("media_no", filled(F.col("em"), F.col("extraction_method")).alias("extraction_method"), filled(F.col("oq"), F.col("ocr_quality")).alias("ocr_quality"))
 
 

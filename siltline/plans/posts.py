@@ -172,40 +172,46 @@ def val_document(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.explode(issues).alias("i")).groupBy("i.level", "i.field").agg(F.count("*").alias("n"))
 
 
-_HALVES = f"WITH u AS (SELECT row_no, canonical, source.author AS author, ai_analysis.summary AS summary FROM posts JOIN ({_URLS}) USING (row_no) WHERE canonical IS NOT NULL)"
+_HALVES = f"WITH u AS (SELECT row_no, canonical, source.author AS author, ai_analysis.summary AS summary, coalesce(source.capture_method, '') = 'automated' AS auto FROM posts JOIN ({_URLS}) USING (row_no) WHERE canonical IS NOT NULL)"
 
 
 @R.query(f"""{_HALVES},
-s AS (SELECT canonical, min(nullif(trim(author, ' '), '')) AS author, min(nullif(trim(summary, ' '), '')) AS summary FROM u WHERE row_no % 3 <> 0 GROUP BY 1),
-i AS (SELECT canonical, min(nullif(trim(author, ' '), '')) AS author, min(nullif(trim(summary, ' '), '')) AS summary FROM u WHERE row_no % 3 <> 1 GROUP BY 1)
+s AS (SELECT canonical, min(nullif(trim(author, ' '), '')) AS author, min(nullif(trim(summary, ' '), '')) AS summary FROM u WHERE auto GROUP BY 1),
+i AS (SELECT canonical, min(nullif(trim(author, ' '), '')) AS author, min(nullif(trim(summary, ' '), '')) AS summary FROM u WHERE NOT auto GROUP BY 1)
 SELECT coalesce(s.canonical, i.canonical) AS canonical, coalesce(s.author, i.author) AS author, coalesce(s.summary, i.summary) AS summary,
   CASE WHEN s.canonical IS NULL THEN 'added' WHEN i.canonical IS NULL THEN 'stored' WHEN (s.author IS NULL AND i.author IS NOT NULL) OR (s.summary IS NULL AND i.summary IS NOT NULL) THEN 'updated' ELSE 'kept' END AS status
 FROM s FULL OUTER JOIN i ON s.canonical = i.canonical""")
 def set_list_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Two overlapping lists of addresses merged: what one lacks, the other fills."""
-    u = _posts(spark, d).select("row_no", U.canonical_url(F.col("source.url")).alias("canonical"), F.col("source.author").alias("author"), F.col("ai_analysis.summary").alias("summary"))
-    return merge_lists(u.filter("row_no % 3 <> 0"), u.filter("row_no % 3 <> 1"), "canonical", ["author", "summary"])
+    """The addresses captured automatically merged with those captured otherwise: what one list lacks, the other fills."""
+    u = _posts(spark, d).select((F.coalesce(F.col("source.capture_method"), F.lit("")) == "automated").alias("auto"), U.canonical_url(F.col("source.url")).alias("canonical"), F.col("source.author").alias("author"), F.col("ai_analysis.summary").alias("summary"))
+    return merge_lists(u.filter("auto"), u.filter("not auto"), "canonical", ["author", "summary"])
 
 
-@R.query("""
-WITH b AS (SELECT doc_id, md5(text) AS g FROM documents WHERE doc_id % 10 <> 0), a AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS g FROM documents WHERE doc_id % 10 <> 1)
+_CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\x{00A0}]+', ' ', 'g'), ' ?\\n ?', E'\\n', 'g'), '\\n{3,}', E'\\n\\n', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@R.query(f"""
+WITH b AS (SELECT doc_id, md5(text) AS g FROM documents WHERE collected_at < TIMESTAMPTZ '2025-06-01 00:00:00+00'), a AS (SELECT doc_id, md5({_CLEAN_SQL}) AS g FROM documents WHERE collected_at >= TIMESTAMPTZ '2023-06-01 00:00:00+00')
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'NEW' WHEN a.doc_id IS NULL THEN 'MISSING' WHEN a.g IS NOT DISTINCT FROM b.g THEN 'UNCHANGED' ELSE 'CHANGED' END AS outcome FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
 def inc_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Two states of the documents compared by digest."""
+    """Documents as collected until one day compared with documents as cleaned since an earlier day."""
     doc = _docs(spark, d)
-    before = doc.filter("doc_id % 10 <> 0").select("doc_id", F.md5("text").alias("g"))
-    after = doc.filter("doc_id % 10 <> 1").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text"))).alias("g"))
+    before = doc.filter("collected_at < timestamp'2025-06-01 00:00:00 UTC'").select("doc_id", F.md5("text").alias("g"))
+    after = doc.filter("collected_at >= timestamp'2023-06-01 00:00:00 UTC'").select("doc_id", F.md5(T.clean_lines(F.col("text"))).alias("g"))
     return outcomes(before, after, "doc_id", "g")
 
 
 @R.query("""
-SELECT doc_id, (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND text IS NOT NULL) AS reuse FROM documents""")
+WITH l AS (SELECT id, arg_max(md5(original_text), row_no) AS digest, coalesce(arg_max(coalesce(source.capture_method, ''), row_no), '') AS version FROM posts WHERE original_text IS NOT NULL GROUP BY 1),
+     f AS (SELECT id, arg_min(md5(original_text), row_no) AS digest, coalesce(arg_min(coalesce(source.capture_method, ''), row_no), '') AS version FROM posts WHERE original_text IS NOT NULL GROUP BY 1),
+     s AS (SELECT f.* FROM f WHERE EXISTS (SELECT 1 FROM run_state r WHERE r.post_id = f.id AND r.status = 'done'))
+SELECT l.id, coalesce(l.digest = s.digest AND l.version = s.version, false) AS reuse FROM l LEFT JOIN s USING (id)""")
 def inc_freshness(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose stored digest and version still hold."""
-    doc = _docs(spark, d)
-    work = doc.select("doc_id", F.md5("text").alias("digest"), F.lit("3").alias("version"))
-    state = doc.filter("doc_id % 5 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("digest"), F.when(F.col("doc_id") % 3 == 0, "2").otherwise("3").alias("version"))
-    return reusable(work, state, "doc_id")
+    """Posts whose finished run still holds for the latest capture: same text, same way of capture."""
+    p = _posts(spark, d).filter("original_text is not null").select("id", "row_no", F.md5("original_text").alias("digest"), F.coalesce(F.col("source.capture_method"), F.lit("")).alias("version"))
+    pick = lambda f: p.groupBy("id").agg(f(F.struct("row_no", "digest", "version")).alias("m")).select("id", "m.digest", "m.version")
+    done = table(spark, d, "run_state").filter("status = 'done'").select(F.col("post_id").alias("id")).distinct()
+    return reusable(pick(F.max), pick(F.min).join(done, "id", "left_semi"), "id")
 
 
 @R.query("""
