@@ -187,7 +187,7 @@ def label_positions(net: Network, texts: list[str], batch: int = 768) -> list[np
 
 
 _CUT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+")
-_CODE = re.compile(r"[{}<>=;_|\\]|\w\(|\)\.|^\s*[@#/$]|https?:|^[A-Z][A-Z]+ |\w\.\w+\(")
+_CODE = re.compile(r"[{}<>=_|\\]|;\s*$|\w\(|\)\.|^\s*[@#/$]|https?:|^[A-Z][A-Z]+ |\w\.\w+\(")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
