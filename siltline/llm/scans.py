@@ -16,6 +16,7 @@ nothing but themselves; rows that repeat another one have the same defects and a
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ _DECOR = re.compile(r"^[\W_]+|[\W_]+$")
 _AFFIX = r"\d{1,4}|[ivxlc]{1,7}"
 _LEAD = re.compile(rf"^({_AFFIX})\s{{2,}}(?=\S)")
 _TRAIL = re.compile(r"((?:\s+\d{1,4})+)$")
+_PROSE_END = frozenset(".,;:!?-‐¬\xad=(")
+_BREAK_END = frozenset("-‐¬\xad=")
 _PROSE = re.compile(r"[.!?;]\s|[.,;:!?\-‐¬\xad=(]$|^[a-z]")
 
 
@@ -50,6 +53,7 @@ def is_page_number(line: str) -> bool:
     return bool(line) and len(line) < 24 and bool(_PAGE.match(line))
 
 
+@functools.lru_cache(maxsize=100_000)
 def skeleton(word: str) -> str:
     """The word with its confusable glyphs unified."""
     for a, b in GLYPHS:
@@ -60,6 +64,9 @@ def skeleton(word: str) -> str:
 def title_parts(line: str) -> tuple[str, str, str] | None:
     """(key, page number, shape of the numbers) of a line that could be a running title; the key is free of page numbers and style."""
     t = line.strip("\x0c \t|~*_—–=#<>")
+    # most lines are prose and leave here
+    if not t or t[-1] in _PROSE_END or (t[0].islower() and t[0] not in "ivxlc") or ". " in t:
+        return None
     lead = ""
     if m := _LEAD.match(t):
         lead, t = m.group(1), t[m.end() :].strip("|~*_—–=#<> ")
@@ -94,16 +101,16 @@ def structure(text: str, kind: str | None) -> tuple[bool, list[tuple[str, str, s
                 edge |= {*filled[max(0, n - 2) : n + 2]}
     paged, breaks = False, []
     titles: dict[tuple[str, str, str], int] = {}
-    numbers = set()
+    numbers, first = set(), set()
     for k in filled:
-        if (pdf or k in edge) and is_page_number(lines[k].strip("\x0c ")):
+        if (pdf or k in edge) and len(lines[k]) < 32 and is_page_number(lines[k].strip("\x0c ")):
             numbers.add(k)
             paged = True
     for n, k in enumerate(filled):
         if k in numbers:
             continue
         line = lines[k]
-        if m := _BREAK.search(line):
+        if line.rstrip()[-1:] in _BREAK_END and (m := _BREAK.search(line[-80:])):
             for j in filled[n + 1 : n + 6]:
                 after = lines[j].lstrip("\x0c ")
                 if j in numbers:
@@ -116,10 +123,11 @@ def structure(text: str, kind: str | None) -> tuple[bool, list[tuple[str, str, s
         near_number = (k - 1 in numbers) or (k + 1 in numbers)
         if (pdf or k in edge or near_number) and (p := title_parts(line)):
             titles[p] = titles.get(p, 0) + 1
+            if k in edge:
+                first.add(p[0])
     total: Counter = Counter()
     for (key, _, _), c in titles.items():
         total[key] += c
-    first = {p[0] for k in edge if (p := title_parts(lines[k]))}
     kept = [(*p, c) for p, c in titles.items() if total[p[0]] > 1 or p[0] in first]
     return paged, breaks, kept
 
