@@ -71,13 +71,17 @@ def opener(text: str) -> str | None:
     return " ".join(text.lower().split()[:2]) or None
 
 
+def _mix(h: np.ndarray, size: int) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
+
+
 def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` codes before each position size..len."""
     n = len(codes) - size + 1
     h = np.zeros(max(n, 0), np.uint64)
     for k in range(size):
         h = h * _BASE + codes[k : k + len(h)] + np.uint64(1)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
+    return _mix(h, size)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -97,12 +101,28 @@ def _ends(codes: np.ndarray) -> np.ndarray:
     """Whether each position 1..len(codes) is an end: of the value, a paragraph, a finished sentence or a tag."""
     after = np.empty(len(codes), np.uint64)
     after[:-1], after[-1] = codes[1:], 10
+    after[after == 0] = 10  # values of a batch stand behind one another
     then = np.zeros(len(codes), np.uint64)
     then[:-2] = codes[2:]
     sentence = np.isin(codes, _STOP) & np.isin(after, _SPACE)
     return (after == 10) | sentence | ((after == 32) & (then == 35))
 
 
+def joined(b: pd.DataFrame, most: int = 500_000) -> Iterator[tuple[str, np.ndarray]]:
+    """(field, codes) of the values of a batch, one behind another with a zero between, about ``most`` characters at a time."""
+    for field, texts in b.groupby("field")["text"]:
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            part.append(bare_end(t).replace("\x00", " "))
+            size += len(part[-1])
+            if size > most:
+                yield field, _codes("\x00".join(part))
+                part, size = [], 0
+        if size:
+            yield field, _codes("\x00".join(part))
+
+
 def value_ends(df: DataFrame, key: str, columns: dict[str, Column], platform: Column) -> DataFrame:
     """One row for each non-blank value: key, field, platform, text."""
     each = F.array(*[F.struct(F.lit(k).alias("field"), c.alias("text")) for k, c in columns.items()])
@@ -144,29 +164,22 @@ def score_ends(values: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = shared.value
         for b in batches:
-            for field, texts in b.groupby("field")["text"]:
-                codes_all, end_all = [], []
-                for t in texts:
-                    codes = _codes(bare_end(t))
-                    if len(codes):
-                        codes_all.append(codes)
-                        end_all.append(_ends(codes))
-                if not codes_all:
-                    continue
-                for s in SIZES:
-                    hh, ee = [], []
-                    for codes, end in zip(codes_all, end_all, strict=True):
-                        if len(codes) < s:
-                            continue
-                        h = _hashes(codes, s)
-                        at = (h & np.uint64((1 << (BITS + 3)) - 1)).astype(np.int64)
-                        keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                        hh.append(h[keep])
-                        ee.append(end[s - 1 :][keep])
-                    if not hh:
+            for field, codes in joined(b):
+                end, at = _ends(codes), np.arange(len(codes))
+                since = at - np.maximum.accumulate(np.where(codes == 0, at, -1))  # characters of the value up to each position
+                h = np.zeros(len(codes), np.uint64)
+                for k in range(SIZES[-1]):
+                    h = h[: len(codes) - k] * _BASE + codes[k:] + np.uint64(1)
+                    s = k + 1
+                    if s not in SIZES:
+                        continue
+                    mixed = _mix(h, s)
+                    cell = (mixed & np.uint64((1 << (BITS + 3)) - 1)).astype(np.int64)
+                    keep = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0) & (since[k:] >= s)
+                    if not keep.any():
                         continue
-                    u, inv = np.unique(np.concatenate(hh), return_inverse=True)
-                    e = np.bincount(inv, np.concatenate(ee), len(u)).astype(np.int64)
+                    u, inv = np.unique(mixed[keep], return_inverse=True)
+                    e = np.bincount(inv, end[k:][keep], len(u)).astype(np.int64)
                     n = np.bincount(inv, minlength=len(u))
                     yield pd.DataFrame({"field": field, "h": u.astype(np.int64), "n_end": e, "n_all": n})
 
