@@ -184,7 +184,7 @@ def score_ends(values: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"field": field, "h": u.astype(np.int64), "n_end": e, "n_all": n})
 
     counts = widened(values.select("field", "text")).mapInPandas(count, "field string, h long, n_end long, n_all long")
-    counts = counts.groupBy("field", "h").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
+    counts = checkpointed(counts.groupBy("field", "h").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all")))  # used twice
     # distinct endings are joined to the counts, then the rows to the endings
     endings = final.groupBy("field", *hs).agg(F.count("*").alias("copies"))
     endings = endings.withColumn("e_id", F.xxhash64("field", *hs))
