@@ -56,6 +56,8 @@ SMALL_WORDS = {
 }
 _CODE = r"^\s*(?:@\w+|[\w.]+\([^)]*\)\s*|.*[;{}]\s*|(?:SELECT|MERGE INTO|VACUUM|OPTIMIZE|INSERT INTO|UPDATE|DELETE FROM|CREATE|DROP|ALTER|WITH|FROM)\b.*|(?:import|from) [\w.]+(?: import .*)?|def \w+\(.*|class \w+.*:|[\w.]+\.\w+\(.*\)|\[[^\]]*\]|\w+ ?= ?\S.*)$"
 _BULLET = r"^\s*(?:[-*•–+]|\d+[.)])\s+\S"
+# what sources put behind a cut; a fourth dot before three of them is the sentence's own
+_DOTS = r"\s*(?:[\[(](?:\.{3}|…)[\])]|(?:\.{3}|…)+)\s*$"
 
 
 def _plain(c: Column) -> Column:
@@ -101,8 +103,10 @@ def judge_pairs(df: DataFrame, question: str = "question", answer: str = "answer
     script = F.when(foreign_letters, ((latin(q) > 3 * other(q)) & (other(a) > 3 * latin(a))) | ((other(q) > 3 * latin(q)) & (latin(a) > 3 * other(a)) & (latin(a) > 8))).otherwise(False)
     foreign = script | ((qn >= 2) & (an >= 2) & (ql != al) & (an >= 2 * in_own + 1))
 
-    last = F.regexp_replace(F.element_at(F.split(F.regexp_replace(a, r"\s+$", ""), r"\n"), -1), r"^\s+", "")
-    ended = last.rlike(r"[.!?…。！？:][)\]\"'”’»*_`]*\s*$") | last.rlike(_BULLET) | last.rlike(_CODE)
+    # dots behind an answer say nothing: what stands before them is judged, and they excuse a line of a list or of code no longer
+    dotted, a_end = a.rlike(_DOTS), F.regexp_replace(F.regexp_replace(a, _DOTS, ""), r"\s+$", "")
+    last = F.regexp_replace(F.element_at(F.split(a_end, r"\n"), -1), r"^\s+", "")
+    ended = last.rlike(r"(?:[.!?。！？][)\]\"'”’»*_`]*|…[)\]\"'”’»*_`]+)\s*$") | (~dotted & last.rlike(_BULLET)) | (last.rlike(_CODE) & ~a.rlike(r"[\p{L}\p{N}](?:\.{3}|…)+\s*$"))
     fences = F.regexp_count(a, F.lit("```")) % 2 == 1
     count = lambda ch: F.length(a) - F.length(F.replace(a, F.lit(ch), F.lit("")))
     unclosed = fences | (count("(") > count(")")) | ((count("[") > count("]")) & last.rlike(r"\[[^\]]*$"))

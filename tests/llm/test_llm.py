@@ -191,6 +191,19 @@ def test_pairs(spark, question, answer, want):
     assert (d[0] if d else None) == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("It reads the rows. Add a table and let the rest c...", "truncated_answer"), ("It reads the rows. Unab…", "truncated_answer"), ("It reads the rows. Then it […]", "truncated_answer"), ("It reads the rows in these steps:", "truncated_answer"),
+        ("It reads rows.\n- one\n- tw...", "truncated_answer"), ("It reads the rows....", None), ("It reads the rows. …", None), ("It reads the rows.\n...", None), ('It only says "wait…"', None), ("It has no body.\ndef f(x): ...", None), ("...", "empty_answer"),
+    ],
+)
+def test_dots_do_not_end_an_answer(spark, answer, want):
+    df = spark.createDataFrame([("How does the merge work?", answer)], "question string, answer string")
+    d = pairs.judge_pairs(df).first().defects
+    assert (d[0] if d else None) == want
+
+
 def test_pairs_of_nothing(spark):
     assert pairs.judge_pairs(spark.createDataFrame([], "question string, answer string")).count() == 0
 
