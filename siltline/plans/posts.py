@@ -10,6 +10,7 @@ from siltline.functions import text as T
 from siltline.functions import urls as U
 from siltline.operators.dedupe import keepers
 from siltline.operators.merging import merge_lists, outcomes, reusable
+from siltline.operators.ranking import ranked
 from siltline.plans._registry import Registry
 from siltline.session import table
 
@@ -230,10 +231,10 @@ _HAY = "lower(concat_ws(' ', id, coalesce(original_text, ''), coalesce(ai_analys
 
 @R.query(f"SELECT row_no, row_number() OVER (ORDER BY row_no) AS rank FROM posts WHERE contains({_HAY}, 'pipeline') AND contains({_HAY}, 'kafka') QUALIFY rank <= 1000")
 def q_search(spark: SparkSession, d: str) -> DataFrame:
-    """Posts that hold all typed words anywhere, the first thousand in their order."""
+    """Posts that hold all typed words anywhere, every one with its rank in their order."""
     text = F.concat_ws(" ", "id", F.coalesce("original_text", F.lit("")), F.coalesce(F.col("ai_analysis.summary"), F.lit("")), F.array_join(F.coalesce(F.col("ai_analysis.topics"), F.array().cast("array<string>")), " "))
-    hits = _posts(spark, d).filter(F.contains(F.lower(text), F.lit("pipeline")) & F.contains(F.lower(text), F.lit("kafka"))).select("row_no").orderBy("row_no").limit(1000)
-    return hits.select("row_no", F.row_number().over(W.orderBy("row_no")).cast("long").alias("rank"))
+    hits = _posts(spark, d).filter(F.contains(F.lower(text), F.lit("pipeline")) & F.contains(F.lower(text), F.lit("kafka"))).select("row_no")
+    return ranked(hits, "row_no")
 
 
 @R.query(f"""

@@ -84,3 +84,15 @@ def test_secrets_are_redacted(spark):
 )
 def test_quality(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(T.ocr_quality(F.col("t")).alias("q")).first().q == want
+
+
+def test_search_gives_every_hit(spark, tmp_path):
+    from siltline.plans.posts import q_search
+
+    posts = spark.range(5000, numPartitions=4).selectExpr(
+        "id AS row_no", "concat('p', id) AS id", "if(id % 2 = 0, 'A Kafka pipeline.', 'A pipeline.') AS original_text",
+        "named_struct('summary', cast(null AS string), 'topics', cast(null AS array<string>)) AS ai_analysis",
+    )
+    posts.write.parquet(f"{tmp_path}/posts.parquet")
+    got = [(r.row_no, r["rank"]) for r in q_search(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(2 * k, k + 1) for k in range(2500)]
