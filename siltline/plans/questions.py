@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions import text as T
 from siltline.operators import questions as Q
+from siltline.operators.ranking import ranked
 from siltline.plans._registry import Registry
 from siltline.session import table
 
@@ -108,6 +109,16 @@ def sort_questions(spark: SparkSession, d: str) -> DataFrame:
     return top.select("question_no", F.row_number().over(W.orderBy("t", "l", F.col("p").asc_nulls_last(), F.col("question").asc_nulls_last(), "question_no")).cast("long").alias("rank"))
 
 
+@R.query("""
+SELECT question_no, row_number() OVER (ORDER BY lower(coalesce(question_type, '')), CASE difficulty WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 WHEN 'hard' THEN 2 ELSE 3 END, lower(post_id), question, question_no) AS rank
+FROM questions""")
+def sort_questions_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with its rank by type, difficulty, post and text."""
+    level = F.coalesce(F.when(F.col("difficulty") == "easy", 0).when(F.col("difficulty") == "medium", 1).when(F.col("difficulty") == "hard", 2), F.lit(3))
+    q = _q(spark, d).select("question_no", "question", F.lower(F.coalesce("question_type", F.lit(""))).alias("t"), level.alias("l"), F.lower("post_id").alias("p"))
+    return ranked(q, "t", "l", F.col("p").asc_nulls_last(), F.col("question").asc_nulls_last(), "question_no").select("question_no", "rank")
+
+
 @R.query("""
 SELECT question_no FROM questions WHERE difficulty = 'hard' AND question_type = 'theory'
   AND contains(lower(coalesce(question, '') || ' ' || coalesce(answer, '')), 'pipeline') AND contains(lower(coalesce(question, '') || ' ' || coalesce(answer, '')), 'row')""")

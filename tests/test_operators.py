@@ -96,3 +96,15 @@ def test_search_gives_every_hit(spark, tmp_path):
     posts.write.parquet(f"{tmp_path}/posts.parquet")
     got = [(r.row_no, r["rank"]) for r in q_search(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(2 * k, k + 1) for k in range(2500)]
+
+
+def test_every_question_is_ranked(spark):
+    import duckdb
+
+    from siltline.plans.questions import ORACLE, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view questions as select * from '{d}/questions.parquet'")
+    got = sorted((r.question_no, r["rank"]) for r in QUERIES["sort_questions_all"](spark, d).collect())
+    assert len(got) == 1500 and got == sorted(con.sql(ORACLE["sort_questions_all"]).fetchall())
