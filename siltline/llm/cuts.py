@@ -38,6 +38,7 @@ _CLOSERS = tuple(".!?…\"')”»")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 # What sources put behind a cut.
 _TAIL = re.compile(r"(?:\s*(?:\(?(?:\.{3}|…)?\s*(?:see|read|show|view)?\s*more\)?|\[(?:\.{3}|…)\]|\.{3}|…|�|\\+|<\w*|&\w*|\[?truncated\]?|mehr anzeigen|voir plus|ver más))+\s*$", re.I)
+_CLOSING = r"([\p{L}\p{N}_]+)[\"'”’»)\]]*[.!?](?:\s|$)"
 _SMALL = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
 _rewrite: list[Rewriter] = []
 
@@ -71,6 +72,18 @@ def opener(text: str) -> str | None:
     return " ".join(text.lower().split()[:2]) or None
 
 
+def last_word(text: str) -> str | None:
+    """The last word of a value, in lower case."""
+    words = re.findall(r"\w+", text[-200:].lower())
+    return words[-1] if words else None
+
+
+def closing_words(values: DataFrame) -> DataFrame:
+    """last: the different words that stand before the full stop of a sentence; dots behind a cut close none."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_CLOSING), F.lit(1)))
+    return values.select(word.alias("w")).select(F.regexp_replace("w", r"[0-9]+", "0").alias("last")).distinct()
+
+
 def _mix(h: np.ndarray, size: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
@@ -147,12 +160,14 @@ def score_ends(values: DataFrame) -> DataFrame:
             got["opener"] = [opener(e) for e in ends]
             got["closed"] = [int(e[-1:] in _CLOSERS) for e in ends]
             got["own"] = [int(bool(e)) for e in ends]
+            got["last"] = [last_word(e) for e in ends]
+            got["end_hash"] = pd.util.hash_array(np.array(ends, dtype=object), categorize=False).astype(np.int64)
             got["text_hash"] = b["text_hash"].to_numpy()
-            yield got[["row", "platform", "field", "lang", "own", "opener", "closed", "text_hash", *hs]]
+            yield got[["row", "platform", "field", "lang", "own", "opener", "closed", "last", "end_hash", "text_hash", *hs]]
 
     kind = values.schema["row"].dataType.simpleString()
     hashed = values.withColumn("text_hash", F.xxhash64("text"))
-    final = checkpointed(widened(hashed).mapInPandas(finals, f"row {kind}, platform string, field string, lang string, own int, opener string, closed int, text_hash long, " + ", ".join(f"{h} long" for h in hs)))
+    final = checkpointed(widened(hashed).mapInPandas(finals, f"row {kind}, platform string, field string, lang string, own int, opener string, closed int, last string, end_hash long, text_hash long, " + ", ".join(f"{h} long" for h in hs)))
     distinct = final.select("field", F.explode(F.array(*hs)).alias("h")).filter("h is not null").select(F.pmod("h", F.lit(1 << (BITS + 3))).alias("b")).distinct()
     # the table of final contexts as bytes: each task builds its part, the parts have a fixed total size
     table = np.zeros(1 << BITS, np.uint8)
@@ -192,11 +207,16 @@ def score_ends(values: DataFrame) -> DataFrame:
     need = need.join(counts, ["field", "h"], "left").groupBy("e_id").pivot("k", list(range(len(SIZES)))).agg(F.first("n_end").alias("e"), F.first("n_all").alias("a"))
     copies = final.groupBy("field", "text_hash").agg(F.count("*").alias("copies"))
     copies = copies.filter("copies > 1")
-    openers = final.filter("opener is not null").groupBy("field", "opener").agg(F.count("*").alias("o_n"), F.sum("closed").alias("o_closed"))
-    titles = openers.filter((F.col("o_n") >= 3) & (F.col("o_closed") < TITLE_SHARE * F.col("o_n"))).select("field", "opener", F.lit(True).alias("title"))
+    # different texts of an opener are counted, not rows: copies of one cut text make no title
+    texts = final.filter("opener is not null").groupBy("field", "opener", "end_hash").agg(F.max("closed").alias("closed"))
+    openers = texts.groupBy("field", "opener").agg(F.count("*").alias("o_n"), F.sum("closed").alias("o_closed"))
+    titles = openers.filter((F.col("o_n") >= 3) & (F.col("o_closed") < TITLE_SHARE * F.col("o_n"))).select("field", "opener")
+    # and a title is whole only if its last word closes a sentence somewhere
+    whole = final.filter("opener is not null").join(titles, ["field", "opener"]).select("field", "opener", "last").distinct()
+    titles = whole.join(closing_words(values), "last", "left_semi").withColumn("title", F.lit(True))
     total = counts.agg((F.sum("n_end") / F.sum("n_all")).alias("base"))
     scored = final.withColumn("e_id", F.xxhash64("field", *hs)).join(need, "e_id", "left").join(copies, ["field", "text_hash"], "left")
-    scored = scored.join(titles, ["field", "opener"], "left").crossJoin(F.broadcast(total))  # total is one row
+    scored = scored.join(titles, ["field", "opener", "last"], "left").crossJoin(F.broadcast(total))  # total is one row
     own = F.col("own") * F.coalesce("copies", F.lit(1))
     p = F.coalesce(F.col("base"), F.lit(0.05))
     for k in range(len(SIZES)):

@@ -226,6 +226,16 @@ def test_cuts(spark):
     assert cuts.cut_values(df.limit(0)).count() == 0
 
 
+def test_copies_and_cut_titles_are_no_titles(spark):
+    r = random.Random(5)
+    s = ["The merge job writes many small files.", "We keep one partition for each domain.", "Nobody reviewed the change feed before Monday.", "Every team pays for latency.", "The slides explain the lookup table."]
+    rows = [post(k, summary=" ".join(r.choice(s) for _ in range(4))) for k in range(300)] + [post(300 + k, summary=f"Notes on {w} and latency") for k, w in enumerate(["Flink", "Kafka", "Trino", "Glue", "Avro", "Hive"])]
+    copies = [post(400 + k, summary="The merge job writes many sm") for k in range(3)]  # one text, captured three times
+    cut = [post(410, summary="Notes on Spark and late"), post(411, summary="Notes on Delta and laten…")]
+    got = {x.row_no for x in cuts.cut_values(spark.createDataFrame(rows + copies + cut, POST)).filter("cut").collect()}
+    assert got >= {400, 401, 402, 410, 411} and not got & set(range(306))
+
+
 # ---- 8, 9: packing and mixing
 
 
