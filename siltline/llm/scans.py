@@ -32,8 +32,12 @@ from siltline.session import checkpointed, widened
 MIN_GOOD, MIN_RATIO = 10, 10  # a form to restore stands so often, and so many times as often as the misread one
 RECURRING = 0.5  # share of lines of a make that must come back for its lines to count as headers
 PART_FORMS = 1_000_000  # misread forms broadcast at once
-# Glyphs that scanning confuses, longer ones first, and the glyph that stands for them in a skeleton.
-GLYPHS = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("c", "e"), ("5", "s"), ("1", "l"), ("i", "l"), ("+", "t"), ("0", "o"), ("@", "a"), ("9", "g"), ("ſ", "f"), ("6", "b"), ("h", "b")]
+# Glyphs that scanning confuses, and what stands for them in a skeleton. Each glyph is replaced by itself,
+# wide ones by the narrow ones that they are taken for, so no order of replacing matters: cl, c1, el and d are all 'el'.
+NARROW = str.maketrans("c51i+0@9ſ6h", "eslltoagfbb")
+WIDE = {"m": "rn", "d": "el", "w": "vv", "u": "ll"}
+TAKEN = {"rn": "m", "cl": "d", "vv": "w", "ii": "u"}
+_GLYPHS = NARROW | str.maketrans(WIDE)
 _WORD = re.compile(r"[\w@+]+(?:[-‐][\w@+]+)*")
 _PAGE = re.compile(r"^(?:(?:page|seite|página|pagina|p\.|pg\.?|slide|folie)\s*\d{1,4}(?:\s*(?:of|von|de|sur|di|van|/)\s*\d{1,4})?|[—–-]\s*\d{1,4}\s*[—–-]|\[\s*\d{1,4}\s*\]|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}|(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))$", re.I)
 _BREAK = re.compile(r"([^\W\d_]+)([-‐¬\xad=])\s*$")
@@ -56,9 +60,27 @@ def is_page_number(line: str) -> bool:
 @functools.lru_cache(maxsize=100_000)
 def skeleton(word: str) -> str:
     """The word with its confusable glyphs unified."""
-    for a, b in GLYPHS:
-        word = word.replace(a, b)
-    return word
+    return word.translate(_GLYPHS)
+
+
+def confusable(a: str, b: str) -> bool:
+    """Whether glyphs of one word are taken for those of the other; equal skeletons alone also make 'il' of 'u'."""
+    todo, seen = [(0, 0)], set()
+    while todo:
+        i, j = todo.pop()
+        if (i, j) in seen:
+            continue
+        seen.add((i, j))
+        if i == len(a) and j == len(b):
+            return True
+        x, y = a[i : i + 2], b[j : j + 2]
+        if x and y and x[0].translate(NARROW) == y[0].translate(NARROW):
+            todo.append((i + 1, j + 1))
+        if y and TAKEN.get(x) == y[0]:
+            todo.append((i + 2, j + 1))
+        if x and TAKEN.get(y) == x[0]:
+            todo.append((i + 1, j + 2))
+    return False
 
 
 def title_parts(line: str) -> tuple[str, str, str] | None:
@@ -176,7 +198,8 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
 
 
 def _skeleton_column(c: Column) -> Column:
-    for a, b in GLYPHS:
+    c = F.translate(c, "".join(map(chr, NARROW)), "".join(map(chr, NARROW.values())))
+    for a, b in WIDE.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -186,10 +209,17 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     words = counts.filter("word is not null").select("word", "n", _skeleton_column(F.col("word")).alias("k"))
     words = words.filter(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2) & ~F.col("word").contains("-"))
     clean = words.filter((F.col("n") >= MIN_GOOD) & F.col("word").rlike(r"^[\p{L}]+$"))
-    best = clean.groupBy("k").agg(F.max(F.struct("n", "word")).alias("g")).select("k", F.col("g.word").alias("good"), F.col("g.n").alias("n_good"))
-    bad = words.join(best, "k").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= MIN_RATIO * F.col("n")))
+    goods = clean.select("k", F.col("word").alias("good"), F.col("n").alias("n_good"))
+    bad = words.join(goods, "k").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= MIN_RATIO * F.col("n")))
     odd = ~F.col("word").rlike(r"^[\p{L}&&[^ſ]]+$")
-    return bad.filter(odd | (F.length("word") >= 3)).select(F.col("word").alias("bad"), "good")
+    bad = bad.filter(odd | (F.length("word") >= 3)).select(F.col("word").alias("bad"), "good", "n_good")
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[confusable(x, y) for x, y in zip(b["bad"], b["good"], strict=True)]]
+
+    bad = bad.mapInPandas(taken, "bad string, good string, n_good long")
+    return bad.groupBy("bad").agg(F.max(F.struct("n_good", "good")).alias("g")).select("bad", "g.good")
 
 
 def _scan(items: DataFrame, bad: dict[str, str], structured: bool) -> DataFrame:

@@ -120,6 +120,17 @@ def test_scan_defects(spark):
     assert text[5] == "Small files hurt." and text[8] == "Small files hurt the cluster."
 
 
+def test_misreads_inside_wide_glyphs(spark):
+    assert {scans.skeleton(w) for w in ("cluster", "c1uster", "eluster", "duster")} == {scans.skeleton("cluster")} and scans.skeleton("hclps") == scans.skeleton("helps")
+    body = "The cluster helps us and we use each clever parcel."
+    rows = [media(k, f"{body} {body}", post_id=f"c{k}") for k in range(60)]
+    rows += [media(100, "The c1uster helps us."), media(101, "The cluster hclps us."), media(102, "us and we ilse each clever"), media(103, "use each clever pared.")]
+    df = spark.createDataFrame(rows, MEDIA)
+    assert {(r.media_no, r.defect) for r in scans.scan_defects(df).collect()} == {(100, "misread"), (101, "misread")}
+    text = {r.media_no: r.paragraphs for r in scans.repaired(df).collect()}
+    assert text[100] == "The cluster helps us." and text[101] == "The cluster helps us." and text[102] == "us and we ilse each clever"
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(spark.createDataFrame([], MEDIA)).count() == 0
 
