@@ -5,6 +5,9 @@ look-alike letters of other scripts) are joined by union-find over strings and c
 transitive classes. Each class is represented by the member that is most frequent in the data, and a
 multi-pattern automaton rewrites the text greedily, longest match first, until nothing changes.
 
+Texts are compared by what is read of them: there a run of blanks and line breaks is one blank, while the unified
+text keeps its lines.
+
 Defined results: null stays null, the empty text stays empty; a text of invisible characters alone becomes
 empty; ties in frequency go to the shortest, then smallest member; repeated rows are kept.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltline.session import checkpointed, out_schema, widened
@@ -134,13 +137,13 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, text: str) -> str:
-        for _ in range(0 if text.isascii() and "\t" not in text and "\r" not in text else 8):  # an accent may meet its letter only when what stood between is gone
-            if self.marks.isdisjoint(text):
-                break
-            new = self.once(text)
-            if new == text:
-                break
-            text = new
+        if not text.isascii() or "\t" in text or "\r" in text:
+            seen = {text}
+            while not self.marks.isdisjoint(text):  # an accent may meet its letter only when what stood between is gone
+                text = self.once(text)
+                if text in seen:
+                    break
+                seen.add(text)
         text = re.sub(" {2,}", " ", text)
         return re.sub(r" ?\n ?", "\n", text).strip(" ")
 
@@ -180,14 +183,42 @@ def unify_text(df: DataFrame, column: str, out: str = "unified", counts: dict[st
     return widened(df).mapInPandas(run, schema)
 
 
+def reading_key(unified: Column) -> Column:
+    """What the eye reads of a unified text: every run of white space, line breaks among it, is one blank."""
+    return F.trim(F.regexp_replace(unified, r"[\s\p{Z}]+", " "))
+
+
+def _readings(df: DataFrame, key: str, column: str) -> DataFrame:
+    """k, u (digest of what is read), w (digest of what is written) of every row with a text."""
+    u = unify_text(df.select(key, column).filter(F.col(column).isNotNull()), column)
+    return checkpointed(u.select(F.col(key).alias("k"), F.sha2(reading_key(F.col("unified")), 256).alias("u"), F.sha2(F.col(column), 256).alias("w")))
+
+
+def visual_classes(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, class_no, writing_no, n_writings: one row for each row with a text.
+
+    ``class_no`` is the smallest key of the rows that read the same, ``writing_no`` the smallest of those with the very
+    string, ``n_writings`` the number of different strings of the class. Rows are grouped by aggregates alone, so a text
+    that is captured by a third of all rows costs no more than its rows.
+    """
+    rows = _readings(df, key, column)
+    writings = rows.groupBy("u", "w").agg(F.min("k").alias("writing_no"))
+    classes = writings.groupBy("u").agg(F.min("writing_no").alias("class_no"), F.count("*").alias("n_writings"))
+    return rows.join(writings.join(classes, "u"), ["u", "w"]).select(F.col("k").alias(key), "class_no", "writing_no", "n_writings")
+
+
+def writing_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
+    """class_no, writing_no: every other string of a class that reads like the class's first one, each by its smallest key."""
+    return visual_classes(df, key, column).filter("writing_no <> class_no").select("class_no", "writing_no").distinct()
+
+
 def visual_twins(df: DataFrame, key: str, column: str) -> DataFrame:
-    """row_a, row_b (``row_a < row_b``): rows whose text reads the same but is another string.
+    """row_a, row_b (``row_a < row_b``): all rows whose text reads the same but is another string.
 
-    Copies of one string are grouped before anything is paired, so a group of exact copies alone pairs nothing.
+    Copies of one string are grouped before anything is paired, so a group of exact copies alone pairs nothing. The
+    result grows with the square of a class; ``visual_classes`` says the same in one row a text.
     """
-    u = unify_text(df.select(key, column).filter(F.col(column).isNotNull()), column)
-    digest = lambda c: F.sha2(F.col(c), 256)
-    rows = checkpointed(u.select(F.col(key).alias("k"), digest("unified").alias("u"), digest(column).alias("w")))
+    rows = _readings(df, key, column)
     texts = rows.groupBy("u", "w").agg(F.count("*").alias("n"))
     several = texts.groupBy("u").agg(F.count("*").alias("writings")).filter("writings > 1").select("u")
     rows = rows.join(several, "u", "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltline.llm.cuts import cut_values
 from siltline.llm.languages import document_languages, language_cases
-from siltline.llm.lookalikes import unify_text, visual_twins
+from siltline.llm.lookalikes import unify_text, visual_classes, visual_twins, writing_pairs
 from siltline.llm.mixing import mix_documents
 from siltline.llm.packing import pack_documents, pack_report
 from siltline.llm.pairs import judge_pairs
@@ -33,6 +33,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_twins(table(spark, sf_dir, "posts"), "row_no", "original_text")
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_no, class_no, writing_no, n_writings: the class of texts that read the same, of every post with a text."""
+    return visual_classes(table(spark, sf_dir, "posts"), "row_no", "original_text")
+
+
+def p2_writings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """class_no, writing_no: pairs of the first string of each class with its other strings, by their first rows."""
+    return writing_pairs(table(spark, sf_dir, "posts"), "row_no", "original_text")
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_no, unified: every post's text in one form."""
     return unify_text(table(spark, sf_dir, "posts").select("row_no", "original_text"), "original_text").select("row_no", "unified")
@@ -122,6 +132,6 @@ def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_found, p2_unified, p3_found, p3_repaired, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_stretches)
+    for f in (p1_found, p1_unmatched, p2_found, p2_classes, p2_writings, p2_unified, p3_found, p3_repaired, p4_found, p4_masked, p5_found, p5_all_defects, p6_found, p6_share, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_stretches)
 }
 ORACLE: dict[str, str] = {}

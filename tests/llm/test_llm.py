@@ -88,6 +88,30 @@ def test_twins(spark):
     assert got == {(a, b) for a, b in itertools.combinations(same, 2) if (a, b) != (0, 20)}
 
 
+def test_line_breaks_read_as_blanks(spark):
+    t = ["one two\nthree", "one two three", "one  two\n\n three", "one\u00a0two\u2028three ", "onetwo three", "one two\nfour", "one two\nthree"]
+    df = spark.createDataFrame([post(k, x) for k, x in enumerate(t)], POST)
+    got = {(r.row_a, r.row_b) for r in lookalikes.visual_twins(df, "row_no", "original_text").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations([0, 1, 2, 3, 6], 2) if (a, b) != (0, 6)}
+    classes = {r.row_no: (r.class_no, r.writing_no, r.n_writings) for r in lookalikes.visual_classes(df, "row_no", "original_text").collect()}
+    assert classes == {0: (0, 0, 4), 1: (0, 1, 4), 2: (0, 2, 4), 3: (0, 3, 4), 6: (0, 0, 4), 4: (4, 4, 1), 5: (5, 5, 1)}
+    assert {(r.class_no, r.writing_no) for r in lookalikes.writing_pairs(df, "row_no", "original_text").collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
+def test_half_of_all_rows_in_one_class_of_copies(spark):
+    df = spark.createDataFrame([post(k, "the same text") for k in range(3000)] + [post(3000 + k, f"text {k}") for k in range(3000)] + [post(9000, "the\u200b same text")], POST)
+    assert lookalikes.visual_twins(df, "row_no", "original_text").count() == 3000
+    got = lookalikes.visual_classes(df, "row_no", "original_text").groupBy("class_no").count().orderBy(F.desc("count")).first()
+    assert (got.class_no, got["count"]) == (0, 3001)
+
+
+def test_rewriting_runs_to_its_fixed_point():
+    r = lookalikes.Rewriter({c: 5 for c in "abcdefghijklmnopqrstuvwxyz -"})
+    text = "a" + "\u200b\u0323".join("" for _ in range(2)) + "\u200b" * 40 + "\u0301 \u0430\u200b\u0308\u200b\u0304"
+    once = r(text)
+    assert r(once) == once and "\u200b" not in once
+
+
 def test_unified_form_is_stable_and_keeps_the_rest(spark):
     text = "Ünḯ ﬁne — “q” 9º é‍ long " * 400
     r = lookalikes.Rewriter({c: 5 for c in "abcdefghijklmnopqrstuvwxyz -"})
