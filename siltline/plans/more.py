@@ -210,17 +210,39 @@ def str_looks_like_link(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "posts").filter("original_text is not null").select("row_no", (F.col("original_text").rlike("https?://") & (n < 3)).alias("looks_like_link"))
 
 
-@R.query()
+# a line of a known form for each item: what stands in it, what must come out, and the kind of path
+_LINES = [
+    ("concat('C:', b, 'Users', b, 'Your Name', b, replace(media_path, '/', b), '>type ', id)", "'<LOCAL_WINDOWS_PATH>>type ' || id", "drive"), ("concat('open c:', b, b, 'data', b, b, id, '.txt')", "'open <LOCAL_WINDOWS_PATH>'", "drive"), ("concat('c', b, b, 'Users', b, 'Me>run ', id)", "'<LOCAL_WINDOWS_PATH>>run ' || id", "drive"),
+    ("concat('see ', b, b, 'server', b, 'share', b, id)", "'see <UNC_PATH>'", "share"), ("concat('%APPDATA%', b, id, '|more')", "'<LOCAL_PATH_ENV_VAR>|more'", "variable"), ("concat('.venv', b, 'Scripts', b, 'run.exe')", "'<LOCAL_PROJECT_PATH>'", "project"),
+    ("concat('copy D:', b, id, '.a E:', b, id)", "'copy <LOCAL_WINDOWS_PATH><LOCAL_WINDOWS_PATH>'", "drive"), ("concat('n//2 and I/O of s3://lake/', media_path, ' at %d/%m/%Y')", "'n//2 and I/O of s3://lake/' || media_path || ' at %d/%m/%Y'", None),
+]
+_line = lambda k: "CASE media_no % 8 " + " ".join(f"WHEN {n} THEN {x[k]}" for n, x in enumerate(_LINES)) + " END"
+
+
+def _path_lines(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "media_items").select("media_no", F.coalesce("media_path", F.lit("")).alias("media_path"), F.col("media_no").cast("string").alias("id"), F.chr(F.lit(92)).alias("b"))
+    return m.select("media_no", F.expr(_line(0)).alias("line"))
+
+
+_ITEMS = "(SELECT media_no, coalesce(media_path, '') AS media_path, media_no::VARCHAR AS id FROM media_items)"
+
+
+@R.query(f"SELECT media_no, {_line(1)} AS text, CASE media_no % 8 WHEN 6 THEN 2 WHEN 7 THEN 0 ELSE 1 END::INTEGER AS n FROM {_ITEMS}")
 def str_redact_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with local paths replaced: doc_id, text, changed."""
-    t = redact_paths(F.col("text"))
-    return _t(spark, d, "documents").select("doc_id", t.alias("text"), (t != F.col("text")).alias("changed"))
+    """A line with a local path of a known form for every item, with the paths replaced and counted."""
+    return _path_lines(spark, d).select("media_no", redact_paths(F.col("line")).alias("r")).select("media_no", "r.text", "r.n")
 
 
-@R.query()
+@R.query("SELECT media_no, kind FROM (SELECT media_no, CASE media_no % 8 " + " ".join(f"WHEN {n} THEN '{x[2]}'" for n, x in enumerate(_LINES) if x[2]) + " END AS kind FROM media_items) WHERE kind IS NOT NULL")
 def str_find_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of local path in documents: doc_id, kind."""
-    return _t(spark, d, "documents").select("doc_id", F.explode(path_kinds(F.col("text"))).alias("kind"))
+    """The kinds of local path in the same lines."""
+    return _path_lines(spark, d).select("media_no", F.explode(path_kinds(F.col("line"))).alias("kind"))
+
+
+@R.query("SELECT doc_id, md5(text) AS digest, 0 AS n FROM documents")
+def str_keep_technical_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents hold code, addresses and dates but no local path, and come back as they are."""
+    return _t(spark, d, "documents").select("doc_id", redact_paths(F.col("text")).alias("r")).select("doc_id", F.md5("r.text").alias("digest"), "r.n")
 
 
 @R.query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions import text as T
 from siltline.functions import urls as U
+from siltline.functions.secrets import holds_secret, redact_secrets
 from siltline.operators.dedupe import keepers
 from siltline.operators.merging import merge_lists, outcomes, reusable
 from siltline.operators.ranking import ranked
@@ -115,16 +116,26 @@ def str_tidy(spark: SparkSession, d: str) -> DataFrame:
     return _posts(spark, d).select("row_no", T.tidy(F.col("ai_analysis.summary")).alias("tidy"))
 
 
-_REDACT = "original_text"
-for _p in T.SECRET_PATTERNS:
-    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '[REDACTED]', 'g')"
-_REDACT = "regexp_replace(" + _REDACT + ", '" + T.ASSIGNED_SECRET.replace("'", "''") + "', '\\1\\2[REDACTED]', 'g')"
+# a line of a known form before each text: what stands in it, and what must come out
+_PLANTED = [
+    ("'login with ghp_' || substr(md5(id), 1, 24) || ' today'", "'login with [REDACTED] today'"), ("'API_KEY = \"' || substr(md5(id), 1, 12) || '\"; next'", "'API_KEY = [REDACTED]; next'"), ("'Authorization: Bearer ' || substr(md5(id), 1, 20) || ' sent'", "'Authorization: [REDACTED] sent'"),
+    ("'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(id) || chr(10) || '-----END RSA PRIVATE KEY----- end'", "'[REDACTED] end'"), ("'the token was lost, author: ' || id", "'the token was lost, author: ' || id"), ("'key AKIA' || upper(substr(md5(id), 1, 16)) || '.'", "'key [REDACTED].'"),
+]
+_planted = lambda k: "CASE row_no % 6 " + " ".join(f"WHEN {n} THEN {x[k]}" for n, x in enumerate(_PLANTED)) + " END"
 
 
-@R.query(f"SELECT row_no, md5({_REDACT}) AS digest, {_REDACT} <> original_text AS redacted FROM posts")
+@R.query(f"SELECT row_no, {_planted(1)} || chr(10) || md5(coalesce(original_text, '')) AS redacted FROM posts")
 def str_redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    t = T.redact_secrets(F.col("original_text"))
-    return _posts(spark, d).select("row_no", F.md5(t).alias("digest"), (t != F.col("original_text")).alias("redacted"))
+    """A line with a credential of a known form before a digest of every post's text, redacted."""
+    line = F.concat(F.expr(_planted(0)), F.lit("\n"), F.md5(F.coalesce("original_text", F.lit(""))))
+    return _posts(spark, d).select("row_no", redact_secrets(line).alias("redacted"))
+
+
+@R.query("SELECT row_no, false AS found, md5(original_text) AS digest FROM posts WHERE original_text IS NOT NULL")
+def str_contains_credential(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a post's text holds a credential (none of the test texts does), with a digest of the redacted text."""
+    t = _posts(spark, d).filter("original_text is not null").select("row_no", "original_text")
+    return t.select("row_no", holds_secret(F.col("original_text")).alias("found"), F.md5(redact_secrets(F.col("original_text"))).alias("digest"))
 
 
 @R.query("""

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Shapes of local paths that must not be published.
-LOCAL_PATHS = r"(?i)(?<![A-Za-z0-9])[A-Z]:[\\/]|\\\\[^\\/:*?\"<>|\s]+[\\/]|%(?:USERPROFILE|APPDATA|LOCALAPPDATA|TEMP)%|/(?:home|Users)/[^/\s]+/"
+from siltline.functions.paths import path_kinds
+from siltline.functions.secrets import holds_secret
 
+HOME = r"(?:^|[^\w/.])/(?:home|Users)/[^/\s]+/"  # a home folder, which redaction leaves but no publication may hold
 
-def leaks(df: DataFrame) -> DataFrame:
-    """column, n: string values that hold a local path or a credential."""
-    from siltline.functions.text import ASSIGNED_SECRET, SECRET_PATTERNS
 
-    shape = "|".join([LOCAL_PATHS, *SECRET_PATTERNS, ASSIGNED_SECRET])
-    names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    each = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").rlike(shape).alias("hit")) for n in names])
-    return df.select(F.explode(each).alias("x")).filter("x.hit").groupBy("x.column").agg(F.count("*").alias("n"))
+def string_leaves(value: Column, kind: T.DataType, name: str) -> Column | None:
+    """array<struct<column, value>> of all strings below a column: in structs, arrays, maps and the keys of maps."""
+    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+        return F.array(F.struct(F.lit(name).alias("column"), value.cast("string").alias("value")))
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := string_leaves(value[f.name], f.dataType, f"{name}.{f.name}")) is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, T.ArrayType):
+        below = lambda x: string_leaves(x, kind.elementType, name)
+        if below(F.lit(None).cast(kind.elementType)) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(value, below)), F.array().cast("array<struct<column:string,value:string>>"))
+    if isinstance(kind, T.MapType):
+        parts = [string_leaves(F.map_keys(value), T.ArrayType(kind.keyType), f"{name}.<key>"), string_leaves(F.map_values(value), T.ArrayType(kind.valueType), name)]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    return None
+
+
+def leaks(df: DataFrame) -> DataFrame:
+    """column, n: strings that hold a local path or a credential, at any depth; names of columns are looked at too."""
+    parts = [p for f in df.schema.fields if (p := string_leaves(F.col(f"`{f.name}`"), f.dataType, f.name)) is not None]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, n long")
+    leaves = df.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").filter("value <> ''")
+    bad = F.col("value").rlike(HOME) | (F.size(path_kinds(F.col("value"))) > 0) | holds_secret(F.col("value"))
+    return leaves.filter(bad).groupBy("column").agg(F.count("*").alias("n"))
 
 
 def assert_public(df: DataFrame) -> DataFrame:
