@@ -181,6 +181,43 @@ def test_held_out_accuracy(field):
     assert tp / (tp + fp) > 0.97 and tp / (tp + fn) > 0.97
 
 
+def test_nothing_of_the_training_table_stands_in_the_texts():
+    import pandas as pd
+
+    d = "/root/testdata/sf0.01"
+    texts = [t for t in pd.read_parquet(f"{d}/posts.parquet").original_text if t] + [t for t in pd.read_parquet(f"{d}/media_items.parquet").extracted_text if t]
+    hay = " ".join(" ".join(texts).split()).lower()
+    parts = {p.strip(" .,;:!?").lower() for ss in labelled.SENTENCES.values() for s in ss for p in re.split(r"\{\w+\}", s)}
+    parts |= {x.lower() for x in [*labelled._PLURALS, *labelled._GROUPS]}
+    long = [p for p in parts if len(p.split()) > 2 or (len(p) > 14 and " " in p)]
+    assert len(long) > 150 and [p for p in long if p in hay] == []
+
+
+# sentences of another hand than the training table's, with pieces in double brackets
+OTHERS = [
+    ("person", "Yesterday I had coffee with [[Chinedu Abiola]] in Lagos."), ("person", "The keynote of [[Ingeborg Hallström]] was brilliant."), ("person", "[[Rajesh Venkataraman]] maintains the library."), ("person", "Special thanks to my manager [[Sarah Whitcombe]] for the support."),
+    ("person", "Interview with Prof. [[Matthias Kellerhoff]] next week."), ("person", "[[M. Castellanos]] asked a good question."), ("person", "Merci à [[Amélie Fontanelle]] pour son aide."), ("person", "Gracias a [[Rodrigo Valdivieso]] por la charla."),
+    ("email", "Reach me at [[jane.q.public@widgets-inc.com]] any time."), ("email", "Resume to [[hr@acme.io]] please."), ("email", "Write to [[tom (at) startup (dot) io]] if interested."), ("email", "Contacto: [[ventas@tienda.es]]"),
+    ("phone", "Call our support line [[+44 20 7946 0958]] today."), ("phone", "Office number: [[(212) 736-5000]]."), ("phone", "WhatsApp me on [[+91 98 76543 210]] please."), ("phone", "Tel. [[040 123 4567]] between nine and five."),
+    ("id_number", "My social security number [[078-05-1120]] leaked."), ("id_number", "Passport no. [[C01234567]] was stolen."), ("id_number", "DNI [[12345678-Z]] caducado."), ("id_number", "Her national insurance number [[AB 12 34 56 C]] is in the file."),
+    ("address", "Meet me at [[221B Baker Street, London]] at noon."), ("address", "We moved to [[1600 Amphitheatre Parkway, Mountain View 94043]]."), ("address", "Unser Büro: [[Friedrichstraße 43, 10117 Berlin]]."), ("address", "J'habite au [[12, rue de Rivoli, 75001 Paris]]."),
+]
+
+
+def test_pieces_of_another_hand(field):
+    texts = [t.replace("[[", "").replace("]]", "") for _, t in OTHERS]
+    found = personal.Decoder(field).find(texts)
+    hit = [(t.index("[["), kind) in {(a, k) for a, _, k in got} for (kind, t), got in zip(OTHERS, found, strict=True)]
+    assert sum(hit) >= 0.85 * len(OTHERS), [o for o, h in zip(OTHERS, hit, strict=True) if not h]
+
+
+def test_addresses_of_any_length(field):
+    host = ".".join(["verylonghostlabel"] * 12) + ".example"
+    text = f"Orders for cakes: someone@{host}, please."
+    got = [s for s in personal.Decoder(field).find([text])[0] if s[2] == "email"]
+    assert [text[a:b] for a, b, _ in got] == [f"someone@{host}"]
+
+
 def test_viterbi_is_the_best_of_all_paths(field):
     d = personal.Decoder(field)
     text = "Call 617-555 now"
