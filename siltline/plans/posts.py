@@ -119,7 +119,7 @@ def str_tidy(spark: SparkSession, d: str) -> DataFrame:
 # a line of a known form before each text: what stands in it, and what must come out
 _PLANTED = [
     ("'login with ghp_' || substr(md5(id), 1, 24) || ' today'", "'login with [REDACTED] today'"), ("'API_KEY = \"' || substr(md5(id), 1, 12) || '\"; next'", "'API_KEY = [REDACTED]; next'"), ("'Authorization: Bearer ' || substr(md5(id), 1, 20) || ' sent'", "'Authorization: [REDACTED] sent'"),
-    ("'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(id) || chr(10) || '-----END RSA PRIVATE KEY----- end'", "'[REDACTED] end'"), ("'the token was lost, author: ' || id", "'the token was lost, author: ' || id"), ("'key AKIA' || upper(substr(md5(id), 1, 16)) || '.'", "'key [REDACTED].'"),
+    ("'-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5(id) || chr(10) || '-----END RSA PRIVATE KEY----- end'", "'[REDACTED] end'"), ("'the token was lost, writer: ' || id", "'the token was lost, writer: ' || id"), ("'key AKIA' || upper(substr(md5(id), 1, 16)) || '.'", "'key [REDACTED].'"),
 ]
 _planted = lambda k: "CASE row_no % 6 " + " ".join(f"WHEN {n} THEN {x[k]}" for n, x in enumerate(_PLANTED)) + " END"
 
