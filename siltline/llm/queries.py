@@ -51,7 +51,7 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_no, defect: the first defect that the ordered rules find in each defective pair."""
     out = judge_pairs(table(spark, sf_dir, "questions").select("question_no", "question", "answer"))
-    return out.filter(F.size("defects") > 0).select("question_no", F.col("defects")[0].alias("defect"))
+    return out.select("question_no", F.get("defects", F.lit(0)).alias("defect")).filter("defect is not null")
 
 
 def p5_all_defects(spark: SparkSession, sf_dir: str) -> DataFrame:

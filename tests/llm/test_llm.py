@@ -276,6 +276,22 @@ def test_dots_do_not_end_an_answer(spark, answer, want):
     assert (d[0] if d else None) == want
 
 
+def test_a_long_refusal_is_a_refusal():
+    assert pairs.defects_of("How does the merge work?", "I'm sorry, but I cannot help with that request because " + "it is long and winding and " * 30 + "so on.") == ["refusal"]
+    assert pairs.defects_of("How does the merge work?", "The merge job reads all rows. I cannot say more.") == []
+
+
+def test_every_triggered_defect_is_given():
+    assert pairs.defects_of("How does the merge of the rows work for you?", "Leider kann ich diese Frage nicht beantworten, weil die Tabelle und") == ["refusal", "other_language", "truncated_answer"]
+    assert pairs.defects_of(None, None) == ["empty_answer"] and pairs.defects_of("", "x" * 100_000 + ".") == []
+
+
+def test_every_refusal_holds_one_of_the_words_it_is_looked_for_by():
+    texts = ["I must decline.", "I would rather not respond.", "No reply can be given.", "I can't help.", "This isn't something I can answer.", "Answering this would break rules.", "I don't feel comfortable.", "It would be wrong.", "I won't be answering.", "That is outside what I am allowed to say.", "I may not comment.", "I have to pass on this.", "Please ask someone else.", "It is against my rules.", "I'm not permitted to.",
+        "No puedo responder.", "Prefiero no hablar.", "Je ne peux pas répondre.", "Il m'est impossible de répondre.", "Leider kann ich das nicht sagen.", "Não posso responder.", "Prefiro não responder.", "Non posso rispondere.", "Preferisco non rispondere.", "Dat kan ik niet beantwoorden, ik kan het niet geven."]
+    assert all(pairs.refuses(t) for t in texts), [t for t in texts if not pairs.refuses(t)]
+
+
 def test_pairs_of_nothing(spark):
     assert pairs.judge_pairs(spark.createDataFrame([], "question string, answer string")).count() == 0
 
