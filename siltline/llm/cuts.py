@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.lookalikes import Rewriter
-from siltline.llm.pairs import SMALL_WORDS
+from siltline.llm.pairs import LANGUAGES, LANGUAGES_OF
 from siltline.session import checkpointed, widened
 
 SIZES = (3, 5, 8, 12)  # characters of the contexts
@@ -39,7 +39,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 # What sources put behind a cut.
 _TAIL = re.compile(r"(?:\s*(?:\(?(?:\.{3}|…)?\s*(?:see|read|show|view)?\s*more\)?|\[(?:\.{3}|…)\]|\.{3}|…|�|\\+|<\w*|&\w*|\[?truncated\]?|mehr anzeigen|voir plus|ver más))+\s*$", re.I)
 _CLOSING = r"([\p{L}\p{N}_]+)[\"'”’»)\]]*[.!?](?:\s|$)"
-_SMALL = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
+_WINDOW = 48  # longer than any one thing that a source puts behind a cut, but for an open tag or entity
+_OPEN_TAG = frozenset("<&")
+_NUMBER = re.compile(r"\d[\d,.]*\d|\d")
 _rewrite: list[Rewriter] = []
 
 
@@ -49,20 +51,38 @@ def plain(text: str) -> str:
         if not _rewrite:
             _rewrite.append(Rewriter({c: 1 for c in map(chr, range(32, 127))}))
         text = _rewrite[0](text)
-    return re.sub(r"\d[\d,.]*\d|\d", "0", text)
+    return _NUMBER.sub("0", text.replace("\x00", " "))
 
 
 def bare_end(text: str) -> str:
-    """The plain text without what a source put behind a cut."""
-    return _TAIL.sub("", plain(text)).rstrip()
+    """The plain text without what a source put behind a cut, however often it stands there."""
+    text = plain(text).rstrip()
+    while text:
+        low = max(0, len(text) - _WINDOW)
+        m = _TAIL.search(text, low)
+        if m and m.start() == low and low:  # more of the same before the window
+            m = _TAIL.search(text, max(0, low - 20 * _WINDOW)) or m
+        if m:
+            text = text[: m.start()].rstrip()
+            continue
+        word = len(text)
+        while word and (text[word - 1].isalnum() or text[word - 1] == "_"):
+            word -= 1
+        if not word or text[word - 1] not in _OPEN_TAG:
+            break
+        text = text[: word - 1].rstrip()
+    return text
 
 
 def language(text: str) -> str:
-    """The language with most small words in the text, or an empty string."""
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    votes = {k: sum(w in s for w in words) for k, s in _SMALL.items()}
-    best = max(votes, key=lambda k: votes[k])
-    return best if votes[best] else ""
+    """The language with most small words in the text, or an empty string; ties go to the first of LANGUAGES."""
+    votes = [0] * len(LANGUAGES)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in LANGUAGES_OF:
+            for k in LANGUAGES_OF[w]:
+                votes[k] += 1
+    best = max(votes)
+    return LANGUAGES[votes.index(best)] if best else ""
 
 
 def opener(text: str) -> str | None:
@@ -88,22 +108,23 @@ def _mix(h: np.ndarray, size: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
 
-def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` codes before each position size..len."""
-    n = len(codes) - size + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for k in range(size):
-        h = h * _BASE + codes[k : k + len(h)] + np.uint64(1)
-    return _mix(h, size)
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def _final(text: str) -> list[int | None]:
-    codes = _codes(text[-SIZES[-1] :])
-    return [int(_hashes(codes[-s:], s)[0].astype(np.int64)) if len(codes) >= s else None for s in SIZES]
+def final_hashes(ends: list[str]) -> dict[int, pd.Series]:
+    """The hash of the last characters of each text, for every size of context; null where the text is shorter."""
+    most = SIZES[-1]
+    codes = np.array([e[-most:].rjust(most, "\x00") for e in ends], dtype=f"<U{most}").view(np.uint32).reshape(len(ends), most).astype(np.uint64) if ends else np.zeros((0, most), np.uint64)
+    # a trailing zero would be lost in a string array, but no text ends in one: it is blank and stripped before
+    long = np.array([len(e) for e in ends], dtype=np.int64)
+    out = {}
+    for s in SIZES:
+        h = np.zeros(len(ends), np.uint64)
+        for k in range(most - s, most):
+            h = h * _BASE + codes[:, k] + np.uint64(1)
+        out[s] = pd.Series(_mix(h, s).astype(np.int64), dtype="Int64").mask(pd.Series(long < s))
+    return out
 
 
 _STOP = np.array([ord(c) for c in ".!?…"], np.uint64)
@@ -127,7 +148,7 @@ def joined(b: pd.DataFrame, most: int = 500_000) -> Iterator[tuple[str, np.ndarr
         part: list[str] = []
         size = 0
         for t in texts:
-            part.append(bare_end(t).replace("\x00", " "))
+            part.append(bare_end(t))
             size += len(part[-1])
             if size > most:
                 yield field, _codes("\x00".join(part))
@@ -154,7 +175,7 @@ def score_ends(values: DataFrame) -> DataFrame:
     def finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ends = [bare_end(t) for t in b["text"]]
-            got = pd.DataFrame([_final(t) for t in ends], columns=hs, dtype="Int64")
+            got = pd.DataFrame({f"h{k}": v for k, v in final_hashes(ends).items()})
             got["row"], got["platform"], got["field"] = b["row"].to_numpy(), b["platform"].to_numpy(), b["field"].to_numpy()
             got["lang"] = [language(t) for t in b["text"]]
             got["opener"] = [opener(e) for e in ends]
@@ -216,6 +237,8 @@ def score_ends(values: DataFrame) -> DataFrame:
     titles = whole.join(closing_words(values), "last", "left_semi").withColumn("title", F.lit(True))
     total = counts.agg((F.sum("n_end") / F.sum("n_all")).alias("base"))
     scored = final.withColumn("e_id", F.xxhash64("field", *hs)).join(need, "e_id", "left").join(copies, ["field", "text_hash"], "left")
+    # most values have no opener: each gets a key of its own that no title has, so they don't all meet in one task
+    scored = scored.withColumn("opener", F.coalesce("opener", F.concat(F.lit("\n"), F.col("row").cast("string"))))
     scored = scored.join(titles, ["field", "opener", "last"], "left").crossJoin(F.broadcast(total))  # total is one row
     own = F.col("own") * F.coalesce("copies", F.lit(1))
     p = F.coalesce(F.col("base"), F.lit(0.05))
