@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.functions import text as T
-from siltline.session import checkpointed
+from siltline.session import checkpointed, discard
 
 THRESHOLD = 0.82
+LAST_EDGES = 200_000  # pairs of similar questions that one task decides, a few MB
 
 
 def keyed(questions: DataFrame) -> DataFrame:
@@ -39,32 +41,62 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ranked = sets.select("id", "words", F.size("words").alias("size"), F.explode("words").alias("w")).join(df, "w")
     ranked = ranked.groupBy("id", "words", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     keep = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
-    prefix = ranked.select("id", "words", "size", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select("id", "words", "size", "p.w")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    postings = ranked.select("id", "size", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select("id", "size", "p.w")
+    a, b = postings.alias("a"), postings.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & fits)
-    met = met.filter(T.jaccard(F.col("a.words"), F.col("b.words")) >= threshold - 1e-12)
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    words = lambda side: sets.select(F.col("id").alias(side), F.col("words").alias(f"w_{side}"))
+    met = met.join(words("a"), "a").join(words("b"), "b")
+    return met.filter(T.jaccard(F.col("w_a"), F.col("w_b")) >= threshold - 1e-12).select("a", "b")
+
+
+def _absorbed_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """The nodes that an earlier kept neighbour absorbs, in order of the nodes."""
+    absorbed: set[int] = set()
+    for b, before in edges.sort_values("b").groupby("b", sort=False)["a"]:
+        if any(a not in absorbed for a in before):
+            absorbed.add(b)
+    return pd.DataFrame({"id": pd.Series(sorted(absorbed), dtype="int64")})
+
+
+def absorbed_nodes(pairs: DataFrame) -> DataFrame:
+    """id: the nodes of the edges (a, b), a < b, that aren't kept; a node is kept unless an earlier kept one is its neighbour.
+
+    Nodes without an undecided earlier neighbour are kept and absorb their neighbours; these leave with all their edges. A round
+    writes what is left of the edges, which shrink each time, and what it absorbed. Once at most LAST_EDGES
+    edges are left, one task decides them in order; the result is the same either way.
+    """
+    edges, parts, kept_tables = pairs, [], []
+    while (n := edges.count()) > LAST_EDGES:
+        roots = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")), "id", "left_anti")
+        gone = checkpointed(edges.join(roots, edges.a == roots.id, "left_semi").select(F.col("b").alias("id")).distinct())
+        parts.append(gone)
+        left = edges.join(roots, edges.a == roots.id, "left_anti")
+        left = left.join(gone, left.a == gone.id, "left_anti").join(gone, left.b == gone.id, "left_anti")
+        left = checkpointed(left)
+        for t in kept_tables:
+            discard(t)
+        kept_tables, edges = [left], left
+    if n:
+        parts.append(edges.repartition(1).groupBy(F.lit(0).alias("all")).applyInPandas(_absorbed_of, "id long"))
+    out = edges.sparkSession.createDataFrame([], "id long")
+    for p in parts:
+        out = out.unionByName(p.select(F.col("id").cast("long").alias("id")))
+    return out
 
 
 def merge_similar(questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """question_no, survivor_no: each question with the first kept question that it is like enough.
 
-    Greedy in order of arrival: a question is kept unless an earlier *kept* one is similar. A round decides all
-    questions whose earlier neighbours are decided, so no group is gathered anywhere; exact copies are one node.
+    Greedy in order of arrival: a question is kept unless an earlier *kept* one is similar. Exact copies are one node. Once
+    it is known which questions are absorbed, every absorbed one takes the first kept of its neighbours.
     """
     k = keyed(questions)
     joined = F.array_join("words", " ")
     nodes = checkpointed(k.withColumn("set", joined).groupBy("set").agg(F.min("question_no").alias("id"), F.first("words").alias("words")))
     pairs = checkpointed(similar_pairs(nodes.filter(F.size("words") > 0).select("id", "words"), threshold))
-    state = checkpointed(nodes.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    todo = checkpointed(pairs.select(F.col("b").alias("id")).distinct())
-    while todo.limit(1).count():  # a round decides at least the earliest undecided question
-        edges = pairs.join(todo, pairs.b == todo.id, "left_semi")
-        known = edges.join(state.select(F.col("id").alias("a"), "leader"), "a", "left")
-        seen = known.groupBy("b").agg(F.max(F.col("leader").isNull()).alias("waits"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("first"))
-        done = seen.filter((~F.col("waits"))).select(F.col("b").alias("id"), F.coalesce("first", "b").alias("leader"))
-        done = checkpointed(done)
-        state = checkpointed(state.unionByName(done))
-        todo = checkpointed(todo.join(done, "id", "left_anti"))
-    return k.withColumn("set", joined).join(nodes.select("set", "id"), "set").join(state, "id").select("question_no", F.col("leader").alias("survivor_no"))
+    absorbed = checkpointed(absorbed_nodes(pairs))
+    links = pairs.join(absorbed.withColumnRenamed("id", "b"), "b", "left_semi").join(absorbed.withColumnRenamed("id", "a"), "a", "left_anti")
+    leaders = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    state = nodes.select("set", "id").join(leaders, "id", "left").select("set", F.coalesce("leader", "id").alias("leader"))
+    return k.withColumn("set", joined).join(state, "set").select("question_no", F.col("leader").alias("survivor_no"))

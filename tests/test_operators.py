@@ -36,7 +36,11 @@ def _greedy(rows: list[tuple[int, str | None]]) -> dict[int, int]:
     return out
 
 
-def test_similar_questions_as_greedy_brute_force(spark):
+@pytest.mark.parametrize("last", [200_000, 0])  # one task for all pairs, and rounds to the end
+def test_similar_questions_as_greedy_brute_force(spark, monkeypatch, last):
+    from siltline.operators import questions
+
+    monkeypatch.setattr(questions, "LAST_EDGES", last)
     r = random.Random(5)
     vocab = [f"w{k}" for k in range(14)]
     rows = [(n, " ".join(r.sample(vocab, r.choice([9, 10, 11, 12, 13])))) for n in range(1, 160)] + [(200, None), (201, ""), (202, "what is the"), (203, "w1 w2"), (204, "w2 w1")]
