@@ -136,21 +136,6 @@ def join_orphans(spark: SparkSession, d: str) -> DataFrame:
     return _m(spark, d).join(table(spark, d, "posts").select(F.col("id").alias("post_id")).distinct(), "post_id", "left_anti").select("media_no")
 
 
-@R.query("""
-WITH a AS (SELECT media_path, max(sha256) AS sha, max(size_bytes) AS size, max(width) AS w FROM media_items WHERE extraction_method IS NOT NULL GROUP BY 1)
-SELECT m.media_no, CASE WHEN a.media_path IS NULL THEN 'missing' WHEN a.sha <> m.sha256 OR a.size <> m.size_bytes OR a.w <> m.width THEN 'conflict' ELSE 'matched' END AS verdict,
-  concat_ws('; ', CASE WHEN a.sha <> m.sha256 THEN 'digest' END, CASE WHEN a.size <> m.size_bytes THEN 'size' END, CASE WHEN a.w <> m.width THEN 'width' END) AS note
-FROM media_items m LEFT JOIN a ON a.media_path = m.media_path""")
-def join_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """Items against the listing of the files that were read: missing, conflicting (with what differs) or matched."""
-    m = _m(spark, d).select("media_no", "media_path", "sha256", "size_bytes", "width", "extraction_method")
-    a = m.filter("extraction_method is not null").groupBy("media_path").agg(F.max("sha256").alias("sha"), F.max("size_bytes").alias("size"), F.max("width").alias("w"), F.lit(True).alias("there"))
-    x = m.join(a, "media_path", "left")
-    differs = [("digest", F.col("sha") != F.col("sha256")), ("size", F.col("size") != F.col("size_bytes")), ("width", F.col("w") != F.col("width"))]
-    note = F.concat_ws("; ", *[F.when(c, n) for n, c in differs])
-    return x.select("media_no", F.when(F.col("there").isNull(), "missing").when(note != "", "conflict").otherwise("matched").alias("verdict"), note.alias("note"))
-
-
 @R.query("""
 WITH b AS (SELECT post_id, seq_no, media_no, trim(regexp_replace(extracted_text, '\\s+', ' ', 'g')) AS t FROM media_items WHERE trim(coalesce(extracted_text, '')) <> '' AND media_type = 'image')
 SELECT media_no, post_id, (seq_no + 1)::BIGINT AS slide, substr(t, 1, 300) AS text FROM b WHERE t <> ''""")

@@ -30,17 +30,6 @@ def join_activity(spark: SparkSession, d: str) -> DataFrame:
     return k.join(p, "key").select("media_no", F.col("id").alias("post_id"), (F.col("post_id") == F.col("id")).alias("agrees"))
 
 
-@R.query("""
-WITH t AS (SELECT sha256, max(nullif(trim(extracted_text, ' '), '')) AS text FROM media_items WHERE ocr_status IS NOT NULL AND sha256 IS NOT NULL GROUP BY 1)
-SELECT m.media_no, CASE WHEN m.sha256 IS NULL THEN 'no digest' WHEN t.sha256 IS NULL THEN 'unresolved' WHEN t.text IS NULL THEN 'no text' ELSE 'available' END AS status FROM media_items m LEFT JOIN t USING (sha256)""")
-def join_transcription(spark: SparkSession, d: str) -> DataFrame:
-    """The status of every item's transcription in the listing of processed files."""
-    m = _t(spark, d, "media_items").select("media_no", "sha256", "extracted_text", "ocr_status")
-    t = m.filter("ocr_status is not null and sha256 is not null").groupBy("sha256").agg(F.max(F.nullif(F.trim("extracted_text"), F.lit(""))).alias("text"), F.lit(True).alias("there"))
-    s = F.when(F.col("sha256").isNull(), "no digest").when(F.col("there").isNull(), "unresolved").when(F.col("text").isNull(), "no text").otherwise("available")
-    return m.select("media_no", "sha256").join(t, "sha256", "left").select("media_no", s.alias("status"))
-
-
 @R.query("""
 WITH s AS (SELECT sha256, max(extraction_method) AS em, max(ocr_quality) AS oq FROM media_items WHERE sha256 IS NOT NULL GROUP BY 1)
 SELECT m.media_no, coalesce(nullif(trim(s.em, ' '), ''), m.extraction_method) AS extraction_method, coalesce(nullif(trim(s.oq, ' '), ''), m.ocr_quality) AS ocr_quality FROM media_items m LEFT JOIN s USING (sha256)""")
@@ -104,16 +93,6 @@ def agg_gaps(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "media_items").filter(F.coalesce(F.trim("extracted_text"), F.lit("")) == "").select("media_no", why.alias("reason"))
 
 
-@R.query("""
-WITH g AS (SELECT post_id, count(*) AS n, max(seq_no) - min(seq_no) + 1 AS span, count(DISTINCT seq_no) AS places FROM media_items GROUP BY 1)
-SELECT post_id, n, CASE WHEN span IS NULL THEN 'unnumbered' WHEN places < span THEN 'gaps' WHEN n > places THEN 'repeats' ELSE 'complete' END AS verdict FROM g""")
-def agg_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the items of a post are numbered without gaps and repeats."""
-    g = _t(spark, d, "media_items").groupBy("post_id").agg(F.count("*").alias("n"), (F.max("seq_no") - F.min("seq_no") + 1).alias("span"), F.countDistinct("seq_no").alias("places"))
-    v = F.when(F.col("span").isNull(), "unnumbered").when(F.col("places") < F.col("span"), "gaps").when(F.col("n") > F.col("places"), "repeats").otherwise("complete")
-    return g.select("post_id", "n", v.alias("verdict"))
-
-
 @R.query("""
 WITH e AS (SELECT id, unnest(ai_analysis.topics) AS label, 'topic' AS kind FROM posts UNION ALL SELECT id, unnest(ai_analysis.subtopics), 'subtopic' FROM posts)
 SELECT label, min(kind) AS kind, count(DISTINCT id) AS n_posts FROM e WHERE label IS NOT NULL GROUP BY label""")

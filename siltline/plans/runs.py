@@ -53,13 +53,6 @@ def map_failure_kind(spark: SparkSession, d: str) -> DataFrame:
     return _r(spark, d).filter("error_message is not null").select("run_no", kind.alias("kind"), (kind != "permanent").alias("recoverable"))
 
 
-@R.query("SELECT substr(regexp_replace(lower(error_message), '[0-9]+', '#', 'g'), 1, 80) AS note, count(*) AS n FROM run_state WHERE error_message IS NOT NULL GROUP BY 1")
-def agg_note_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Messages counted by their first 80 characters with the numbers masked."""
-    note = F.substring(F.regexp_replace(F.lower("error_message"), "[0-9]+", "#"), 1, 80)
-    return _r(spark, d).filter("error_message is not null").groupBy(note.alias("note")).agg(F.count("*").alias("n"))
-
-
 @R.query("SELECT run_no, least(2 * power(2, attempts - 1), 30)::DOUBLE AS wait_seconds FROM run_state WHERE attempts >= 1 AND retried > 0")
 def inc_retry(spark: SparkSession, d: str) -> DataFrame:
     """The wait before the next attempt: doubling, at most 30 seconds."""
