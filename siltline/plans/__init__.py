@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["instants", "labels", "questions", "posts", "media", "runs", "more", "inventory"]
+MODULES = ["instants", "labels", "questions", "posts", "media", "runs", "more", "inventory", "items"]
 
 
 def registered() -> tuple[dict, dict]:

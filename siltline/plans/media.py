@@ -191,16 +191,4 @@ def join_containment(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question_no", F.when(F.col("hits").isNull(), "none").when(F.col("hits") == 1, "attached").otherwise("ambiguous").alias("outcome"), F.when(F.col("hits") == 1, F.col("one")).alias("media_no"))
 
 
-@R.query("""
-SELECT post_id, CASE WHEN t AND i THEN 'text_and_media' WHEN t THEN 'text' WHEN i THEN 'image_only' WHEN p THEN 'document_only' ELSE 'metadata_only' END AS quality FROM (
-  SELECT p.id AS post_id, max(coalesce(p.original_text, '') <> '') AS t, coalesce(max(m.i), false) AS i, coalesce(max(m.p), false) AS p
-  FROM posts p LEFT JOIN (SELECT post_id, max(media_type = 'image') AS i, max(media_type = 'pdf') AS p FROM media_items GROUP BY 1) m ON m.post_id = p.id GROUP BY 1)""")
-def cap_quality(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each post was captured."""
-    m = _m(spark, d).groupBy(F.col("post_id").alias("id")).agg(F.max(F.col("media_type") == "image").alias("i"), F.max(F.col("media_type") == "pdf").alias("p"))
-    p = table(spark, d, "posts").groupBy("id").agg(F.max(F.coalesce("original_text", F.lit("")) != "").alias("t")).join(m, "id", "left").na.fill(False, ["i", "p"])
-    q = F.when(F.col("t") & F.col("i"), "text_and_media").when(F.col("t"), "text").when(F.col("i"), "image_only").when(F.col("p"), "document_only").otherwise("metadata_only")
-    return p.select(F.col("id").alias("post_id"), q.alias("quality"))
-
-
 QUERIES, ORACLE = R.queries, R.oracle

@@ -202,17 +202,6 @@ def set_list_merge(spark: SparkSession, d: str) -> DataFrame:
 _CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\x{00A0}]+', ' ', 'g'), ' ?\\n ?', E'\\n', 'g'), '\\n{3,}', E'\\n\\n', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@R.query(f"""
-WITH b AS (SELECT doc_id, md5(text) AS g FROM documents WHERE collected_at < TIMESTAMPTZ '2025-06-01 00:00:00+00'), a AS (SELECT doc_id, md5({_CLEAN_SQL}) AS g FROM documents WHERE collected_at >= TIMESTAMPTZ '2023-06-01 00:00:00+00')
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'NEW' WHEN a.doc_id IS NULL THEN 'MISSING' WHEN a.g IS NOT DISTINCT FROM b.g THEN 'UNCHANGED' ELSE 'CHANGED' END AS outcome FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
-def inc_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as collected until one day compared with documents as cleaned since an earlier day."""
-    doc = _docs(spark, d)
-    before = doc.filter("collected_at < timestamp'2025-06-01 00:00:00 UTC'").select("doc_id", F.md5("text").alias("g"))
-    after = doc.filter("collected_at >= timestamp'2023-06-01 00:00:00 UTC'").select("doc_id", F.md5(T.clean_lines(F.col("text"))).alias("g"))
-    return outcomes(before, after, "doc_id", "g")
-
-
 @R.query("""
 WITH l AS (SELECT id, arg_max(md5(original_text), row_no) AS digest, coalesce(arg_max(coalesce(source.capture_method, ''), row_no), '') AS version FROM posts WHERE original_text IS NOT NULL GROUP BY 1),
      f AS (SELECT id, arg_min(md5(original_text), row_no) AS digest, coalesce(arg_min(coalesce(source.capture_method, ''), row_no), '') AS version FROM posts WHERE original_text IS NOT NULL GROUP BY 1),

@@ -25,13 +25,6 @@ def agg_run_report(spark: SparkSession, d: str) -> DataFrame:
     return _r(spark, d).groupBy("worker_id").agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("n_posts"), F.round(F.coalesce(F.sum("seconds_taken"), F.lit(0.0)), 3).alias("seconds"), F.round(F.max("seconds_taken"), 3).alias("longest"))
 
 
-@R.query("SELECT post_id, status, run_no FROM (SELECT post_id, status, run_no, row_number() OVER (PARTITION BY post_id ORDER BY logged_at DESC, run_no DESC) AS r FROM run_state) WHERE r = 1")
-def inc_run_state(spark: SparkSession, d: str) -> DataFrame:
-    """The latest state of every post."""
-    g = _r(spark, d).groupBy("post_id").agg(F.max(F.struct("logged_at", "run_no", "status")).alias("m"))
-    return g.select("post_id", "m.status", "m.run_no")
-
-
 @R.query("SELECT post_id, min(run_no) AS first_run, sum(attempts)::BIGINT AS attempts, count(*) AS runs, max(finished_at) AS last_finished FROM run_state GROUP BY 1")
 def agg_state_merge(spark: SparkSession, d: str) -> DataFrame:
     """Totals of resumed runs of each post."""
@@ -78,14 +71,6 @@ def agg_events_hourly(spark: SparkSession, d: str) -> DataFrame:
     return hourly(table(spark, d, "events"))
 
 
-@R.query("""
-SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
-def sort_items_fresh_first(spark: SparkSession, d: str) -> DataFrame:
-    """The latest event of every user."""
-    g = table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
-    return g.select("user_id", "m.event_id", "m.ts")
-
-
 @R.query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def smoke_aggregate(spark: SparkSession, d: str) -> DataFrame:
