@@ -161,18 +161,4 @@ def agg_unit_concepts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reference_terms").join(n, ["kind", "term"], "left").select("term_id", "kind", "term", F.coalesce("n", F.lit(0)).cast("long").alias("n_posts"))
 
 
-@R.query(f"""
-WITH t AS ({_TOPICS_SQL}), u AS (SELECT key, arg_min(name, row_no * 10000 + pos) AS name, min(row_no * 10000 + pos) AS seen FROM t GROUP BY key)
-SELECT key, CASE WHEN r = 1 THEN slug ELSE slug || '-' || (r - 1) END AS slug FROM (
-  SELECT key, slug, row_number() OVER (PARTITION BY slug ORDER BY seen) AS r FROM (
-    SELECT key, seen, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (
-      SELECT key, seen, regexp_replace(regexp_replace(lower(substr(name, 1, 12)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM u)))""")
-def win_slug_suffix(spark: SparkSession, d: str) -> DataFrame:
-    """A short name for each topic; names that collide are numbered in the order first seen."""
-    t = L.post_topics(_posts(spark, d)).groupBy("key").agg(F.min(F.struct("row_no", "pos", "name")).alias("f"))
-    t = t.select("key", "f", T.dashed(F.substring("f.name", 1, 12), "untitled").alias("slug"))
-    r = F.row_number().over(W.partitionBy("slug").orderBy("f"))
-    return t.withColumn("r", r).select("key", F.when(F.col("r") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", (F.col("r") - 1).cast("string"))).alias("slug"))
-
-
 QUERIES, ORACLE = R.queries, R.oracle

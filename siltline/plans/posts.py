@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,20 +84,46 @@ def str_taxonomy_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reference_terms").select("term_id", T.dashed(F.col("term"), "untitled").alias("slug"))
 
 
+def _forms(ascii_only: bool) -> str:
+    """A map of characters to their forms, built by rule for the SQL, which has no decomposition by compatibility."""
+    out = {}
+    for code in [*range(128, 0x3000), *range(0xFB00, 0xFB07), *range(0xFE50, 0xFE70), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D800)]:
+        c, k = chr(code), unicodedata.normalize("NFKD", chr(code))
+        form = k.encode("ascii", "ignore").decode() if ascii_only else "".join(x for x in k if not unicodedata.combining(x))
+        if form != c and (form or not ascii_only):
+            out[c] = form
+    quoted = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    return f"MAP({quoted(out)}, {quoted(out.values())})"
+
+
+def _mapped(text: str, ascii_only: bool) -> str:
+    other = "''" if ascii_only else "ch"
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda ch: CASE WHEN ch = '' OR unicode(ch) < 128 THEN ch ELSE coalesce(m[ch], {other}) END), '')"
+
+
 @R.query(f"""
-SELECT row_no, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT row_no, regexp_replace(substr(regexp_replace(regexp_replace(lower(translate(original_text, '{T.ACCENTED + T.ACCENTED.upper()}', '{T.PLAIN + T.PLAIN.upper()}')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM posts)""")
+WITH f AS (SELECT {_forms(True)} AS m)
+SELECT row_no, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT row_no, regexp_replace(substr(regexp_replace(regexp_replace(lower({_mapped('original_text', True)}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM posts, f)""")
 def str_slug(spark: SparkSession, d: str) -> DataFrame:
     return _posts(spark, d).select("row_no", T.slug(F.col("original_text")).alias("slug"))
 
 
+@R.query(f"""
+WITH f AS (SELECT {_forms(True)} AS m)
+SELECT row_no, CASE WHEN coalesce(s, '') = '' THEN 'post' ELSE s END AS safe FROM (SELECT row_no, regexp_replace(substr(regexp_replace(regexp_replace({_mapped('original_text', True)}, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS s FROM posts, f)""")
+def str_safe_id(spark: SparkSession, d: str) -> DataFrame:
+    """A file name made of each post's text."""
+    return _posts(spark, d).select("row_no", T.safe_id(F.col("original_text")).alias("safe"))
+
+
 @R.query("SELECT row_no, nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', ''), '') AS post_id FROM posts")
 def str_post_id(spark: SparkSession, d: str) -> DataFrame:
     return _posts(spark, d).select("row_no", F.nullif(T.dashed(F.col("id"), "", 80), F.lit("")).alias("post_id"))
 
 
-@R.query(f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{T.ACCENTED + T.ACCENTED.upper()}', '{T.PLAIN + T.PLAIN.upper()}'), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents")
+@R.query(f"WITH f AS (SELECT {_forms(False)} AS m) SELECT doc_id, md5(trim(regexp_replace({_mapped('lower(text)', False)}, '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents, f")
 def str_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.fold(F.col("text")).alias("folded"))
+    return _docs(spark, d).select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
 
 
 @R.query("SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS digest FROM documents")
@@ -229,7 +257,7 @@ def dig_source(spark: SparkSession, d: str) -> DataFrame:
 _HAY = "lower(concat_ws(' ', id, coalesce(original_text, ''), coalesce(ai_analysis.summary, ''), array_to_string(coalesce(ai_analysis.topics, []::VARCHAR[]), ' ')))"
 
 
-@R.query(f"SELECT row_no, row_number() OVER (ORDER BY row_no) AS rank FROM posts WHERE contains({_HAY}, 'pipeline') AND contains({_HAY}, 'kafka') QUALIFY rank <= 1000")
+@R.query(f"SELECT row_no, row_number() OVER (ORDER BY row_no) AS rank FROM posts WHERE contains({_HAY}, 'pipeline') AND contains({_HAY}, 'kafka')")
 def q_search(spark: SparkSession, d: str) -> DataFrame:
     """Posts that hold all typed words anywhere, every one with its rank in their order."""
     text = F.concat_ws(" ", "id", F.coalesce("original_text", F.lit("")), F.coalesce(F.col("ai_analysis.summary"), F.lit("")), F.array_join(F.coalesce(F.col("ai_analysis.topics"), F.array().cast("array<string>")), " "))
