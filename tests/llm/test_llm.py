@@ -155,6 +155,39 @@ def test_misreads_inside_wide_glyphs(spark):
     assert text[100] == "The cluster helps us." and text[101] == "The cluster helps us." and text[102] == "us and we ilse each clever"
 
 
+def test_scan_findings_know_no_lengths():
+    body = "x" * 300
+    words = " ".join(f"word{k}" for k in range(60))
+    assert scans.title_parts(f"{words} Title") is not None and scans.title_parts("A b") is not None and scans.title_parts("what is a title?") is not None and scans.title_parts("what is a title?", False) is None
+    assert scans.is_page_number("Page 123456 of 9999999") and scans.is_page_number(" " * 60 + "12345" + " " * 60) and not scans.is_page_number("1234567")
+    assert scans.structure(" " * 80 + "17" + " " * 80 + "\n" + body, "image")[0]
+    long = "a" * 200
+    assert scans.structure(f"some {long}-\nrest of it", "image")[1] == [(long, "rest", "-")]
+    pages = "\n".join(["The Same Title Line", "7"] * 8)
+    assert scans.structure(f"a split par-\n{pages}\ntition follows", "pdf")[1] == [("par", "tition", "-")]
+    assert scans.structure(f"a split par-\n{pages}\nA sentence.\ntition follows", "pdf")[1] == []
+
+
+def test_repaired_text_is_whole_and_free_of_defects(spark):
+    rows = [media(100 + k, " ".join(BODY) * 3, post_id=f"c{k}") for k in range(12)]
+    rows += [media(300 + 2 * k + j, f"{t} Title Line {j}\nSmall files hurt the clus-\nter a lot.\nPage {j} of 9", post_id=f"s{k}") for k, t in enumerate(["Second", "First", "Third"]) for j in (0, 1)]
+    rows += [media(1, None), media(2, ""), media(3, "  \n "), media(4, "3/4"), media(5, "The p1peline reads each file.\n— 5 —"), media(6, "First Title Line\n9", post_id="s1"), media(6, "First Title Line\n9", post_id="s1")]
+    df = spark.createDataFrame(rows, MEDIA)
+    out = scans.repaired(df)
+    text = [(r.media_no, r.paragraphs) for r in out.collect()]
+    assert len(text) == len(rows)
+    assert dict(text)[1] is None and dict(text)[2] == "" and dict(text)[3] == "" and dict(text)[4] == "" and dict(text)[5] == "The pipeline reads each file."
+    again = out.join(df.select("media_no", "post_id", "media_path", "media_type").dropDuplicates(), "media_no").withColumnRenamed("paragraphs", "extracted_text")
+    assert scans.scan_defects(again).count() == 0
+
+
+def test_one_post_with_half_of_all_items(spark):
+    rows = [media(k, f"Shared Title Line\nSmall files hurt {k}.", post_id="hot") for k in range(1500)] + [media(5000 + k, f"Nobody reads file {k} at all.", post_id=f"p{k}") for k in range(1500)]
+    rows += [media(9000 + k, f"Shared Topic{k % 3} Line\nSmall files.", post_id=f"s{k % 3}") for k in range(6)]
+    got = scans.scan_defects(spark.createDataFrame(rows, MEDIA)).filter("defect = 'header' and media_no < 5000").count()
+    assert got == 1500
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(spark.createDataFrame([], MEDIA)).count() == 0
 
