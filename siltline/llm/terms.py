@@ -4,7 +4,8 @@ Every reference entry stands in the tree under a few written forms (term, aliase
 sorted order). The tree's metric is the Levenshtein distance, so pruning by the triangle inequality
 returns every form within the threshold; hits are ranked by the unrestricted Damerau distance. A reference list of at most
 ``BROADCAST_TERMS`` entries is shipped to the workers as one tree; a longer one is cut into shards, each
-entry of the data is searched in every shard, and the winners of the shards are merged.
+different label of the data is searched in every shard, by tasks of about PART_LABELS labels, and the winners of the
+shards are merged. The list is counted before anything is broadcast.
 
 Defined results: a null or blank label is no case and gives no row; a label as near to two different
 terms as to its best one, or farther than the threshold from all, gives term id 0; an empty reference
@@ -22,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.session import out_schema, widened
+from siltline.session import checkpointed, out_schema, widened
 
-BROADCAST_TERMS = 50_000
+BROADCAST_TERMS = 50_000  # entries of one tree; a longer list is cut into shards
+PART_LABELS = 20_000  # different labels that one task searches in one shard, about
 UNMATCHED = 0
 # Words around a label that carry no meaning of their own, at its start and at its end.
 LEADING = ["introduction to", "intro to", "an introduction to", "basics of", "advanced", "about", "the", "a", "an", "on", "more on", "learning", "understanding"]
@@ -228,6 +230,11 @@ def label_entries(posts: DataFrame) -> DataFrame:
     return each.filter(F.col("label").isNotNull() & F.col("label").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def shards_of(reference: DataFrame) -> int:
+    """Into how many parts a reference list is cut; one part is broadcast."""
+    return max(1, -(-reference.count() // BROADCAST_TERMS))
+
+
 def match_labels(entries: DataFrame, reference: DataFrame, shards: int | None = None) -> DataFrame:
     """Add ``term_id`` to rows with the columns ``kind`` and ``label``.
 
@@ -235,8 +242,7 @@ def match_labels(entries: DataFrame, reference: DataFrame, shards: int | None =
     by default one tree where the list has at most BROADCAST_TERMS entries.
     """
     reference = reference.select("term_id", "kind", "term", "aliases").filter(F.col("term").isNotNull() & F.col("kind").isNotNull())
-    if shards is None:
-        shards = -(-reference.limit(BROADCAST_TERMS * 1000).count() // BROADCAST_TERMS) or 1
+    shards = shards_of(reference) if shards is None else shards
     if shards == 1:
         rows = [(r.term_id, r.kind, r.term, list(r.aliases or [])) for r in reference.collect()]
         schema = out_schema(entries, term_id="long")
@@ -249,10 +255,11 @@ def match_labels(entries: DataFrame, reference: DataFrame, shards: int | None =
 
         return widened(entries).mapInPandas(run, schema)
 
-    typed = entries.select("kind", "label").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    split = F.pmod(F.xxhash64("label"), F.lit(16)).cast("int")  # each shard is searched by sixteen tasks
-    typed = typed.withColumn("part", split)
-    parts = reference.withColumn("shard", F.pmod(F.xxhash64("term_id"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    # every different label meets every shard; a shard is searched by as many tasks as its labels need
+    typed = checkpointed(entries.select("kind", "label").distinct())
+    parts_of = max(1, -(-typed.count() // PART_LABELS))
+    typed = typed.withColumn("part", F.pmod(F.xxhash64("kind", "label"), F.lit(parts_of)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    parts = reference.withColumn("shard", F.pmod(F.xxhash64("term_id"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         matcher = Matcher([(r.term_id, r.kind, r.term, None if r.aliases is None else list(r.aliases)) for r in right.itertuples()])
@@ -270,7 +277,8 @@ def match_labels(entries: DataFrame, reference: DataFrame, shards: int | None =
 
 def typed_labels(posts: DataFrame, reference: DataFrame, shards: int | None = None) -> DataFrame:
     """row_no, field, pos, label, term_id of every label that isn't written exactly as a term of its kind."""
+    shards = shards_of(reference) if shards is None else shards
     exact = reference.select(F.col("kind").alias("k"), F.col("term").alias("t")).distinct()
-    entries = label_entries(posts)
-    entries = entries.join(F.broadcast(exact), (F.col("kind") == F.col("k")) & (F.col("label") == F.col("t")), "left_anti") if shards in (None, 1) else entries.join(exact, (F.col("kind") == F.col("k")) & (F.col("label") == F.col("t")), "left_anti")
+    written = (F.col("kind") == F.col("k")) & (F.col("label") == F.col("t"))
+    entries = label_entries(posts).join(F.broadcast(exact) if shards == 1 else exact, written, "left_anti")  # one shard: at most BROADCAST_TERMS rows
     return match_labels(entries, reference, shards).select("row_no", "field", "pos", "label", "term_id")

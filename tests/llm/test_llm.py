@@ -71,6 +71,18 @@ def test_labels(spark):
     assert terms.typed_labels(p.limit(0), ref).count() == 0
 
 
+def test_long_lists_are_counted_before_anything_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 40)
+    monkeypatch.setattr(terms, "PART_LABELS", 25)
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(150)})
+    ref = spark.createDataFrame([(k + 1, "topic", n, None) for k, n in enumerate(names)], REF)
+    p = spark.createDataFrame([post(1, topics=[n[:4] + "z" + n[5:] for n in names])], POST)
+    assert terms.shards_of(ref) == -(-len(names) // 40)
+    sharded = {x.pos: x.term_id for x in terms.typed_labels(p, ref).collect()}
+    assert sharded == {x.pos: x.term_id for x in terms.typed_labels(p, ref, 1).collect()} and sum(t > 0 for t in sharded.values()) > 100
+
+
 def test_ties_are_unmatched(spark):
     ref = spark.createDataFrame([(1, "topic", "abcdefgh", None), (2, "topic", "abcdefgx", None)], REF)
     p = spark.createDataFrame([post(1, topics=["abcdefgy"])], POST)
