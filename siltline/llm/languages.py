@@ -13,6 +13,7 @@ words, code and tags are none; ties go to the language first in CODES; repeated
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,9 +27,10 @@ from siltline.session import widened
 
 CODES = ["en", "de", "fr", "es", "pt", "it", "nl"]
 PER_LANGUAGE = 300  # labelled documents of each language in the training sample
+SAMPLE_CHARS = 4000  # characters that the sample takes of each of its documents; documents are judged whole
 BLOCK, HIDDEN = 4, 32  # bytes a step; units of each direction
 WINDOW, CONTEXT = 128, 16  # steps labelled together, steps of warm-up on each side
-MIN_WORDS, MIN_CONFIDENCE = 4, 0.6  # of a stretch in another language than the document's
+MIN_WORDS, MIN_CONFIDENCE = 2, 0.9  # of a stretch in another language than the document's; a single word is a quotation
 # Other notations of the languages.
 NOTATIONS = {
     "en": "en eng english englisch anglais inglés ingles inglese engels", "de": "de ger deu german deutsch allemand alemán aleman alemão tedesco duits", "fr": "fr fre fra french französisch français francais francés francese frans",
@@ -85,9 +87,54 @@ class Network:
         return out, cache
 
     def probabilities(self, blocks: np.ndarray, live: np.ndarray) -> np.ndarray:
-        s = self.states(blocks, live, "f")[0] @ self.p["of"] + self.states(blocks, live, "b")[0] @ self.p["ob"] + self.p["o"]
-        s = np.exp(s - s.max(-1, keepdims=True))
-        return s / s.sum(-1, keepdims=True)
+        """Probabilities (steps, batch, language) of every position.
+
+        The same recurrence as ``states``, step by step in small buffers: gates are written as tanh of half their input, the
+        halves are folded into the weights, and no array over all steps but the states is kept.
+        """
+        steps, batch = blocks.shape[:2]
+        n, size = HIDDEN, len(CODES)
+        score = np.empty((steps, batch, size), np.float32)
+        half = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
+        x, y, hu = (np.empty((batch, 3 * n), np.float32) for _ in range(3))
+        c, d = (np.empty((batch, n), np.float32) for _ in range(2))
+        columns = np.ascontiguousarray(blocks.transpose(0, 2, 1)).astype(np.intp)
+        whole = live.all(1)
+        for side in "fb":
+            tables = self.p["t" + side].astype(np.float32) * half
+            tables[0] += self.p["b" + side] * half
+            u, o = self.p["u" + side] * np.float32(0.5), self.p["o" + side]
+            h = np.zeros((batch, n), np.float32)
+            for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+                np.take(tables[0], columns[t, 0], axis=0, out=x, mode="clip")
+                for k in range(1, BLOCK):
+                    np.take(tables[k], columns[t, k], axis=0, out=y, mode="clip")
+                    x += y
+                np.dot(h, u, out=hu)
+                gates = x[:, : 2 * n]
+                gates += hu[:, : 2 * n]
+                np.tanh(gates, out=gates)
+                candidate, part = x[:, 2 * n :], hu[:, 2 * n :]
+                np.multiply(gates[:, n:], part, out=d)  # half of r times the state's part, without its constant
+                candidate += part
+                candidate += d
+                np.tanh(candidate, out=c)
+                np.subtract(h, c, out=d)
+                d *= gates[:, :n]
+                h += c
+                h += d
+                h *= 0.5
+                if not whole[t]:
+                    h *= live[t][:, None]
+                if side == "f":
+                    np.dot(h, o, out=score[t])
+                else:
+                    score[t] += h @ o
+        score += self.p["o"]
+        score -= score.max(-1, keepdims=True)
+        np.exp(score, out=score)
+        score /= score.sum(-1, keepdims=True)
+        return score
 
     def gradient(self, blocks: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of every position and its gradient, by backpropagation through time."""
@@ -122,8 +169,11 @@ class Network:
                 dh = total * z + du @ u.T
             g["b" + side] = dx.sum((0, 1))
             flat = dx.reshape(-1, 3 * n)
-            for k in range(BLOCK):
-                np.add.at(g["t" + side][k], blocks[..., k].reshape(-1), flat)
+            for k in range(BLOCK):  # the rows of each byte, put together and summed
+                byte = blocks[..., k].reshape(-1)
+                order = np.argsort(byte, kind="stable")
+                used, starts = np.unique(byte[order], return_index=True)
+                g["t" + side][k][used] = np.add.reduceat(flat[order], starts, axis=0)
         return loss, g
 
 
@@ -165,7 +215,7 @@ def train(sample: list[tuple[str, str]], steps: int = 360, batch: int = 112, len
     return net
 
 
-def label_positions(net: Network, texts: list[str], batch: int = 768) -> list[np.ndarray]:
+def label_positions(net: Network, texts: list[str], batch: int = 384) -> list[np.ndarray]:
     """Probabilities (blocks, languages) of every position of each text."""
     raws = [_bytes(t.lower()) for t in texts]
     windows = [(i, a) for i, r in enumerate(raws) for a in range(0, len(r), WINDOW)]
@@ -222,11 +272,6 @@ def stretches(text: str, prob: np.ndarray) -> list[tuple[int, int, str, float, b
     return out
 
 
-def _votes(text: str, code: str) -> int:
-    """Small words of a language in a text: the check that follows the network's finding of another language."""
-    return sum(w.lower() in _SMALL[code] for w in _WORDS.findall(text))
-
-
 def judge(text: str, prob: np.ndarray) -> tuple[str, float, dict[str, float], list[tuple[int, int, str, float, bool]]] | None:
     """(main language, confidence, further languages with their confidence, stretches) of a text."""
     if not _WORDS.search(text):
@@ -238,18 +283,20 @@ def judge(text: str, prob: np.ndarray) -> tuple[str, float, dict[str, float], li
     main = max(CODES, key=lambda k: mass[k])
     more: dict[str, float] = {}
     for a, b, code, c, whole in parts:
-        if whole and code != main and c >= MIN_CONFIDENCE and _votes(text[a:b], code) >= _votes(text[a:b], main) + (c < 0.9):
+        if whole and code != main and c >= MIN_CONFIDENCE:
             more[code] = max(more.get(code, 0.0), c)
     return main, mass[main] / (sum(mass.values()) or 1.0), more, parts
 
 
 def training_sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, drawn by a hash of the id."""
+    """At most ``per_language`` labelled texts of each language, the first SAMPLE_CHARS characters of each, drawn by a hash of the id."""
     d = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).filter(F.col("code").isNotNull() & (F.length("text") > 40))
     counts = {r.code: r["count"] for r in d.groupBy("code").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.create_map(*[F.lit(x) for c in CODES for x in (c, min(1.0, 2.0 * per_language / max(1, counts.get(c, 0))))])
-    drawn = d.filter(draw < F.element_at(share, F.col("code"))).select(F.substring("text", 1, 4000).alias("text"), "code").limit(per_language * len(CODES) * 4)
+    # the lowest draws first, so that the sample doesn't depend on how the table is partitioned
+    drawn = d.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("code"))).select("draw", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "code")
+    drawn = drawn.orderBy("draw", "doc_id", "text").limit(per_language * len(CODES) * 4)
     kept: dict[str, list[str]] = {c: [] for c in CODES}
     for r in drawn.collect():
         words = [w.lower() for w in _WORDS.findall(r.text)]
@@ -259,9 +306,22 @@ def training_sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> l
     return [(t, c) for c, texts in kept.items() for t in texts]
 
 
+_networks: dict[str, Network] = {}
+
+
+def trained(documents: DataFrame) -> Network:
+    """The network of a table's sample; one that the process has trained on the same sample is used again."""
+    sample = training_sample(documents)
+    key = hashlib.sha256(repr(sample).encode("utf-8", "replace")).hexdigest()
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = train(sample)
+    return _networks[key]
+
+
 def document_languages(documents: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, label_code, main, confidence, more (code, confidence), stretches (start, end, code, confidence) of each document with letters."""
-    net = train(training_sample(documents)) if net is None else net
+    net = trained(documents) if net is None else net
     d = documents.select("doc_id", "text", label_code(F.col("lang")).alias("label_code")).filter(F.length("text") > 0)
     shared = documents.sparkSession.sparkContext.broadcast(net.p)
 

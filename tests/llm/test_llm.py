@@ -469,6 +469,26 @@ def test_language_cases(spark, net):
     assert languages.language_cases(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_short_sentences_of_another_language_count(spark, net):
+    rows = [doc(1, SAMPLES["en"] * 4 + "\nWir haben gewartet.\n" + SAMPLES["en"], "en"), doc(2, SAMPLES["en"] * 4 + " The word Tabelle is German. " + SAMPLES["en"], "en")]
+    got = {(r.doc_id, m.code) for r in languages.document_languages(spark.createDataFrame(rows, DOC), net).collect() for m in r.more}
+    assert got == {(1, "de")}
+
+
+def test_reading_step_by_step_is_the_same_recurrence(net):
+    rng = np.random.default_rng(2)
+    blocks, live = rng.integers(0, 256, (40, 9, languages.BLOCK)).astype(np.uint8), np.ones((40, 9), np.float32)
+    live[30:, 3] = live[5:, 8] = 0
+    s = net.states(blocks, live, "f")[0] @ net.p["of"] + net.states(blocks, live, "b")[0] @ net.p["ob"] + net.p["o"]
+    p = np.exp(s - s.max(-1, keepdims=True))
+    assert np.abs(net.probabilities(blocks, live) - p / p.sum(-1, keepdims=True)).max() < 1e-4
+
+
+def test_the_sample_does_not_depend_on_the_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert languages.training_sample(docs) == languages.training_sample(docs.repartition(7))
+
+
 @pytest.mark.parametrize(("label", "want"), [("EN_GB", "en"), ("ger", "de"), (" Français ", "fr"), ("pt-BR", "pt"), ("xx", None), ("", None), (None, None), ("unknown", None), ("nl-BE", "nl")])
 def test_labels_name_languages(spark, label, want):
     assert spark.createDataFrame([(label,)], "l string").select(languages.label_code(F.col("l")).alias("c")).first().c == want
