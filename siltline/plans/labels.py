@@ -104,19 +104,6 @@ def agg_technologies(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("technology").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-@R.query(f"""
-WITH p AS ({_TECH}), s AS (SELECT id, technology FROM posts, p WHERE contains(lower(original_text), phrase) GROUP BY 1, 2),
-     l AS (SELECT row_no, id, technology FROM posts, p WHERE contains(lower(ai_analysis.summary), phrase) GROUP BY 1, 2, 3)
-SELECT row_no, technology FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = l.id AND s.technology = l.technology)""")
-def str_ground_check(spark: SparkSession, d: str) -> DataFrame:
-    """Technologies that a summary names and its own text doesn't."""
-    p = _posts(spark, d)
-    none = F.array().cast("array<string>")
-    body = p.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set(F.coalesce(T.technologies(F.col("original_text")), none)))).alias("s"))
-    l = p.select("row_no", "id", T.technologies(F.col("ai_analysis.summary")).alias("l")).filter(F.size("l") > 0)  # noqa: E741
-    return l.join(body, "id").select("row_no", F.explode(F.array_except("l", "s")).alias("technology"))
-
-
 _KIND = "CASE " + " ".join(f"WHEN contains(lower(original_text), '{m}') THEN '{k}'" for m, k in T.CONTENT_MARKERS) + " WHEN classification.interview_relevant OR len(ai_analysis.topics) > 0 OR len(ai_analysis.concepts) > 0 THEN 'technical' ELSE 'unknown' END"
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltline.functions import text as T
+from siltline.functions.digests import CHUNK, list_digests
 from siltline.operators.dedupe import first_seen, keepers
+from siltline.operators.ranking import ranked_within
 from siltline.plans._registry import Registry
 from siltline.session import table
 
@@ -79,8 +81,9 @@ def win_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT media_no, ((row_number() OVER (PARTITION BY post_id ORDER BY seq_no, media_path, media_no) - 1) // 5)::BIGINT AS batch FROM media_items WHERE media_type = 'image'")
 def win_batch_number(spark: SparkSession, d: str) -> DataFrame:
     """Images of each post in batches of five, in their order."""
-    r = F.row_number().over(W.partitionBy("post_id").orderBy(F.col("seq_no").asc_nulls_last(), "media_path", "media_no"))
-    return _m(spark, d).filter("media_type = 'image'").select("media_no", F.floor((r - 1) / 5).cast("long").alias("batch"))
+    m = _m(spark, d).filter("media_type = 'image'").select("media_no", "post_id", "seq_no", "media_path")
+    r = ranked_within(m, "post_id", F.col("seq_no").asc_nulls_last(), "media_path", "media_no")
+    return r.select("media_no", F.floor((F.col("rank") - 1) / 5).cast("long").alias("batch"))
 
 
 @R.query("""
@@ -157,13 +160,15 @@ def flt_quality_media(spark: SparkSession, d: str) -> DataFrame:
     return _m(spark, d).filter(F.col("extraction_method").isNotNull() & (F.trim(F.regexp_replace("extracted_text", r"\s+", " ")) != "")).select("media_no")
 
 
-@R.query("""
-SELECT post_id, sha256(string_agg(chr(31) || seq_no || ':' || media_type || ':' || sha256, '' ORDER BY seq_no, media_path, media_no)) AS digest FROM media_items WHERE sha256 IS NOT NULL AND seq_no IS NOT NULL AND media_type IS NOT NULL GROUP BY post_id""")
+@R.query(f"""
+WITH r AS (SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY seq_no, media_path, media_no) AS r, chr(0) || seq_no || ':' || media_type || ':' || sha256 AS t FROM media_items WHERE sha256 IS NOT NULL AND seq_no IS NOT NULL AND media_type <> 'other'),
+c AS (SELECT post_id, (r - 1) // {CHUNK} AS k, sha256(string_agg(t, '' ORDER BY r)) AS d, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT post_id, sha256(string_agg(d, '' ORDER BY k)) AS digest, sum(n)::BIGINT AS members FROM c GROUP BY 1""")
 def dig_assets(spark: SparkSession, d: str) -> DataFrame:
-    """One digest of a post's items in their order; a row is a few bytes, so the hottest post's list stays small."""
-    part = F.struct("seq_no", "media_path", "media_no", F.concat(F.lit("\x1f"), F.col("seq_no").cast("string"), F.lit(":"), F.col("media_type"), F.lit(":"), F.col("sha256")).alias("t"))
-    m = _m(spark, d).filter("sha256 is not null and seq_no is not null and media_type is not null").groupBy("post_id").agg(F.array_sort(F.collect_list(part)).alias("l"))
-    return m.select("post_id", F.sha2(F.array_join(F.transform("l", lambda x: x["t"]), ""), 256).alias("digest"))
+    """One digest of a post's items in their order, without those that play no part."""
+    m = _m(spark, d).filter("sha256 is not null and seq_no is not null and media_type <> 'other'")
+    member = F.concat(F.lit("\x00"), F.col("seq_no").cast("string"), F.lit(":"), F.col("media_type"), F.lit(":"), F.col("sha256"))
+    return list_digests(m, "post_id", ["seq_no", "media_path", "media_no"], member)
 
 
 @R.query("""

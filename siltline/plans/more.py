@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltline.functions import text as T
 from siltline.functions.paths import path_kinds, redact_paths
 from siltline.operators.merging import filled
+from siltline.operators.ranking import ranked_within
 from siltline.plans._registry import Registry
 from siltline.session import table
 
@@ -124,7 +125,7 @@ def sort_assets(spark: SparkSession, d: str) -> DataFrame:
     """Items of a post by the number in their names, as numbers, then by name."""
     n = F.coalesce(F.regexp_extract("media_path", r"_slide_([0-9]+)", 1).try_cast("int"), F.lit(2147483647))
     m = _t(spark, d, "media_items").select("media_no", "post_id", "media_path", n.alias("n"))
-    return m.select("media_no", F.row_number().over(W.partitionBy("post_id").orderBy("n", "media_path", "media_no")).cast("long").alias("rank"))
+    return ranked_within(m, "post_id", "n", "media_path", "media_no").select("media_no", "rank")
 
 
 _SETS = "list_sort(list_distinct(list_filter(coalesce(ai_analysis.topics, []::VARCHAR[]), lambda x: x IS NOT NULL))) AS a, list_sort(list_distinct(list_filter(coalesce(ai_analysis.subtopics, []::VARCHAR[]), lambda x: x IS NOT NULL))) AS b"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions import text as T
 from siltline.functions import urls as U
+from siltline.functions.digests import CHUNK, list_digests, record_digest
 from siltline.functions.secrets import holds_secret, redact_secrets
 from siltline.operators.dedupe import keepers
 from siltline.operators.merging import merge_lists, outcomes, reusable
@@ -243,17 +244,107 @@ def inc_freshness(spark: SparkSession, d: str) -> DataFrame:
     return reusable(pick(F.max), pick(F.min).join(done, "id", "left_semi"), "id")
 
 
-@R.query("""
-WITH m AS (SELECT post_id, string_agg(chr(1) || media_path || ':' || coalesce(sha256, ''), '' ORDER BY media_path, media_no) AS g FROM media_items GROUP BY post_id)
+@R.query(f"""
+WITH r AS (SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY media_path, media_no) AS r, chr(0) || media_path || chr(0) || coalesce(extracted_text, '') || chr(0) || coalesce(sha256, 'absent') AS t FROM media_items WHERE post_id IS NOT NULL),
+c AS (SELECT post_id, (r - 1) // {CHUNK} AS k, sha256(string_agg(t, '' ORDER BY r)) AS d FROM r GROUP BY 1, 2), m AS (SELECT post_id, sha256(string_agg(d, '' ORDER BY k)) AS g FROM c GROUP BY 1)
 SELECT row_no, sha256(trim(coalesce(original_text, ''), ' ') || coalesce(m.g, '')) AS digest FROM posts LEFT JOIN m ON m.post_id = posts.id""")
 def dig_source(spark: SparkSession, d: str) -> DataFrame:
-    """One digest of a post's text and media, so that any change of either shows."""
-    part = F.struct("media_path", "media_no", F.concat(F.lit("\x01"), F.col("media_path"), F.lit(":"), F.coalesce("sha256", F.lit(""))).alias("t"))
-    m = table(spark, d, "media_items").groupBy("post_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "").alias("g"))
+    """One digest of a post's text and its media (path, text, bytes), so that any change of either shows."""
+    member = F.concat(F.lit("\x00"), F.col("media_path"), F.lit("\x00"), F.coalesce("extracted_text", F.lit("")), F.lit("\x00"), F.coalesce("sha256", F.lit("absent")))
+    m = list_digests(table(spark, d, "media_items"), "post_id", ["media_path", "media_no"], member).select("post_id", F.col("digest").alias("g"))
     p = _posts(spark, d).select("row_no", "id", "original_text").join(m, F.col("id") == F.col("post_id"), "left")
     return p.select("row_no", F.sha2(F.concat(F.trim(F.coalesce("original_text", F.lit(""))), F.coalesce("g", F.lit(""))), 256).alias("digest"))
 
 
+@R.query(f"""
+WITH r AS (SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY name, media_no) AS r, name AS t FROM (SELECT post_id, media_no, regexp_extract(media_path, '([^/]*)$', 1) AS name FROM media_items WHERE post_id IS NOT NULL)),
+c AS (SELECT post_id, (r - 1) // {CHUNK} AS k, sha256(string_agg(t, '' ORDER BY r)) AS d FROM r GROUP BY 1, 2), m AS (SELECT post_id, sha256(string_agg(d, '' ORDER BY k)) AS g FROM c GROUP BY 1)
+SELECT row_no, CASE WHEN coalesce(original_text, '') = '' AND m.g IS NULL THEN '' ELSE sha256(coalesce(original_text, '') || coalesce(m.g, '')) END AS digest FROM posts LEFT JOIN m ON m.post_id = posts.id""")
+def dig_manual(spark: SparkSession, d: str) -> DataFrame:
+    """One digest of a post's text and the names of its files; empty if it has neither."""
+    m = table(spark, d, "media_items").select("post_id", "media_no", F.regexp_extract("media_path", "([^/]*)$", 1).alias("name"))
+    g = list_digests(m, "post_id", ["name", "media_no"], F.col("name")).select("post_id", F.col("digest").alias("g"))
+    p = _posts(spark, d).select("row_no", "id", F.coalesce("original_text", F.lit("")).alias("t")).join(g, F.col("id") == F.col("post_id"), "left")
+    return p.select("row_no", F.when((F.col("t") == "") & F.col("g").isNull(), "").otherwise(F.sha2(F.concat("t", F.coalesce("g", F.lit(""))), 256)).alias("digest"))
+
+
+@R.query("SELECT media_no, sha256(coalesce(post_id, '') || chr(31) || coalesce(media_path, '') || chr(31) || coalesce(seq_no::VARCHAR, '') || chr(31) || coalesce(sha256, '') || chr(31) || coalesce(ocr_status, '') || chr(31) || coalesce(extracted_text, '') || chr(31)) AS digest FROM media_items")
+def dig_record(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of what makes an item what it is."""
+    return table(spark, d, "media_items").select("media_no", record_digest(*[F.col(c) for c in ("post_id", "media_path", "seq_no", "sha256", "ocr_status", "extracted_text")]).alias("digest"))
+
+
+@R.query(f"SELECT row_no, coalesce('urn:saved:' || substr(sha256(canonical), 1, 16), 'urn:saved-archive:' || substr(sha256('urn:saved-archive::' || id), 1, 16)) AS identity FROM posts JOIN ({_URLS}) USING (row_no)")
+def id_archive(spark: SparkSession, d: str) -> DataFrame:
+    """The identity of every post: of its address, else of its own id."""
+    return _posts(spark, d).select("row_no", T.archive_id(F.col("id"), F.col("source.url")).alias("identity"))
+
+
+@R.query("""
+SELECT question_no, CASE question_no % 5 WHEN 0 THEN question WHEN 1 THEN '{"q": "' || id || '"}' WHEN 2 THEN '{"q": "' || id || '"}' WHEN 3 THEN '["' || id || '"]' ELSE '{"q": 1}' END AS json FROM questions WHERE question_no % 5 <> 0""")
+def json_llm_parse(spark: SparkSession, d: str) -> DataFrame:
+    """What is JSON in replies that carry it bare, fenced, within prose, as a list; replies without any give none."""
+    q = F.concat(F.lit('{"q": "'), F.col("id"), F.lit('"}'))
+    reply = (
+        F.when(F.col("question_no") % 5 == 0, F.concat(F.lit("No data. "), F.regexp_replace(F.col("question"), r"[{}\[\]]", ""))).when(F.col("question_no") % 5 == 1, F.concat(F.lit(" "), q, F.lit("\n"))).when(F.col("question_no") % 5 == 2, F.concat(F.lit("```json\n"), q, F.lit("\n```")))
+        .when(F.col("question_no") % 5 == 3, F.concat(F.lit("Here you are: [\""), F.col("id"), F.lit("\"] as asked."))).otherwise(F.lit('The answer is {"q": 1} and no more.'))
+    )
+    return table(spark, d, "questions").select("question_no", T.loose_json(reply).alias("json")).filter("json is not null")
+
+
+@R.query(r"""
+SELECT question_no, CASE WHEN question_no % 3 = 0 THEN q ELSE regexp_replace(q, '[^\p{L}\p{N}]+$', '') END AS text, CASE question_no % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'label' ELSE 'signs' END AS repair FROM (SELECT question_no, trim(question, ' ') AS q FROM questions WHERE length(question) > 0
+  AND len(regexp_extract_all(question, '\p{L}{2,}')) >= 3 AND trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) <> '' AND NOT contains(question, 'http') AND (len(list_filter(regexp_extract_all(lower(question), '\p{L}{2,}'), lambda w: w IN ('what', 'why', 'how', 'when', 'where', 'which', 'explain', 'describe'))) > 0) AND regexp_matches(question, '[\p{L}\p{N}]\?$')) WHERE question_no % 3 <> 1
+UNION ALL SELECT question_no, trim(question, ' '), 'label' FROM questions WHERE question_no % 3 = 1 AND length(question) > 0 AND len(regexp_extract_all(question, '\p{L}{2,}')) >= 3 AND trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) <> '' AND NOT contains(question, 'http')
+  AND (len(list_filter(regexp_extract_all(lower(question), '\p{L}{2,}'), lambda w: w IN ('what', 'why', 'how', 'when', 'where', 'which', 'explain', 'describe'))) > 0) AND regexp_matches(question, '[\p{L}\p{N}]\?$')""")
+def str_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with a link, a label or signs added, repaired against their own text."""
+    q = table(spark, d, "questions").select("question_no", "question").filter(F.col("question").rlike(r"[\p{L}\p{N}]\?$") & ~F.contains("question", F.lit("http")) & (T.normalise_label(F.col("question")) != "") & (F.size(F.regexp_extract_all("question", F.lit(r"(\p{L}{2,})"), 1)) >= 3))
+    words = F.regexp_extract_all(F.lower("question"), F.lit(r"(\p{L}{2,})"), 1)
+    q = q.filter(F.arrays_overlap(words, F.array(*map(F.lit, ["what", "why", "how", "when", "where", "which", "explain", "describe"]))))
+    k = F.col("question_no") % 3
+    spoiled = F.when(k == 0, F.concat("question", F.lit(" https://a.example/x more"))).when(k == 1, F.concat(F.lit("Q12: "), F.col("question"))).otherwise(F.concat("question", F.lit(" |=_ •")))
+    return q.select("question_no", T.repaired_question(spoiled, F.col("question")).alias("r")).select("question_no", "r.text", "r.repair")
+
+
+@R.query(r"""
+SELECT row_no, id, md5(body) AS digest, platform, method FROM (SELECT row_no, id, trim(regexp_replace(coalesce(original_text, ''), '^\s+|\s+$', '', 'g')) AS body, source.platform AS platform, coalesce(source.capture_method, 'unknown') AS method FROM posts) WHERE body <> ''""")
+def prj_to_post(spark: SparkSession, d: str) -> DataFrame:
+    """Captured items as posts with their provenance; items without a text are left out."""
+    body = F.trim(F.regexp_replace(F.coalesce("original_text", F.lit("")), r"^\s+|\s+$", ""))
+    return _posts(spark, d).select("row_no", "id", body.alias("body"), F.col("source.platform").alias("platform"), F.coalesce(F.col("source.capture_method"), F.lit("unknown")).alias("method")).filter("body <> ''").select("row_no", "id", F.md5("body").alias("digest"), "platform", "method")
+
+
+_GTECH = "SELECT unnest([" + ", ".join("{'n': '" + n + "', 'p': ' " + p + " '}" for n, ps in sorted(T.TECHNOLOGIES.items()) for p in ps) + "], recursive := true)"
+
+
+def _grounded_sql(text: str, keys: str, frm: str) -> str:
+    padded = f"' ' || {_NORM.format(text)} || ' '"
+    for n, ss in T.SHADOWS.items():
+        for s in ss:
+            padded = f"CASE WHEN t.n = '{n}' THEN replace({padded}, ' {s} ', ' ') ELSE {padded} END"
+    return f"SELECT DISTINCT {keys}, t.n AS technology FROM {frm}, ({_GTECH}) t WHERE contains({padded}, t.p)"
+
+
+@R.query(_grounded_sql("original_text", "row_no", "posts"))
+def str_ground_technologies(spark: SparkSession, d: str) -> DataFrame:
+    """Technologies that posts name as whole words, without phrases that only look like them."""
+    return _posts(spark, d).select("row_no", F.explode(T.grounded_technologies(F.col("original_text"))).alias("technology"))
+
+
+@R.query(f"""
+WITH s AS ({_grounded_sql("b", "id", "(SELECT id, original_text AS b FROM posts UNION ALL SELECT post_id, extracted_text FROM media_items) x")}), e AS (SELECT row_no, id, 'topic' AS kind, unnest(ai_analysis.topics) AS label FROM posts UNION ALL SELECT row_no, id, 'concept', unnest(ai_analysis.concepts) FROM posts),
+n AS ({_grounded_sql("label", "row_no, id, kind, label", "e")}) SELECT DISTINCT row_no, kind, label FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = n.id AND s.technology = n.technology)""")
+def str_ground_check(spark: SparkSession, d: str) -> DataFrame:
+    """Topics and concepts that name a technology which neither the post's text nor its media name."""
+    p = _posts(spark, d)
+    texts = p.select("id", F.col("original_text").alias("b")).unionByName(table(spark, d, "media_items").select(F.col("post_id").alias("id"), F.col("extracted_text").alias("b")))
+    said = texts.select("id", F.explode(T.grounded_technologies(F.col("b"))).alias("technology")).distinct()
+    e = [p.select("row_no", "id", F.lit(k).alias("kind"), F.explode(f"ai_analysis.{f}").alias("label")) for k, f in (("topic", "topics"), ("concept", "concepts"))]
+    named = e[0].unionByName(e[1]).withColumn("technology", F.explode(T.grounded_technologies(F.col("label"))))
+    return named.join(said, ["id", "technology"], "left_anti").select("row_no", "kind", "label").distinct()
+
+
 _HAY = "lower(concat_ws(' ', id, coalesce(original_text, ''), coalesce(ai_analysis.summary, ''), array_to_string(coalesce(ai_analysis.topics, []::VARCHAR[]), ' ')))"
 
 

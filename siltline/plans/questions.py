@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltline.functions import text as T
 from siltline.operators import questions as Q
-from siltline.operators.ranking import ranked
+from siltline.operators.ranking import ranked, ranked_within
 from siltline.plans._registry import Registry
 from siltline.session import table
 
@@ -93,9 +92,10 @@ SELECT question_no, ((rank - 1) // 40 + 1)::BIGINT AS page, greatest(1, ceil(n /
   SELECT question_no, row_number() OVER (PARTITION BY post_id ORDER BY question, question_no) AS rank, count(*) OVER (PARTITION BY post_id) AS n FROM questions)""")
 def win_page_number(spark: SparkSession, d: str) -> DataFrame:
     """Pages of 40 questions of each post, by text."""
-    w = W.partitionBy("post_id")
-    q = _q(spark, d).select("question_no", F.row_number().over(w.orderBy("question", "question_no")).alias("rank"), F.count("*").over(w).alias("n"))
-    return q.select("question_no", (F.floor((F.col("rank") - 1) / 40) + 1).cast("long").alias("page"), F.greatest(F.lit(1), F.ceil(F.col("n") / 40)).cast("long").alias("pages"))
+    q = _q(spark, d).select("question_no", "post_id", "question")
+    n = q.groupBy("post_id").agg(F.count("*").alias("n"))
+    r = ranked_within(q, "post_id", F.col("question").asc_nulls_last(), "question_no").join(n.withColumnRenamed("post_id", "p"), F.col("post_id").eqNullSafe(F.col("p")))
+    return r.select("question_no", (F.floor((F.col("rank") - 1) / 40) + 1).cast("long").alias("page"), F.greatest(F.lit(1), F.ceil(F.col("n") / 40)).cast("long").alias("pages"))
 
 
 @R.query("""
