@@ -196,10 +196,12 @@ def train(sample: list[tuple[str, str]], steps: int = 360, batch: int = 112, len
         blocks, live = np.full((length, batch, BLOCK), 32, np.uint8), np.zeros((length, batch), np.float32)
         y = np.zeros((length, batch), np.int64)
         for b in range(batch):
-            # half of the sequences change their language at some position
-            at, ends = 0, [int(rng.integers(8, length - 8)), length] if b % 2 else [length]
-            for k, end in enumerate(ends):
-                code = names[(b // 2) % len(names)] if not k else names[rng.integers(len(names))]
+            # half of the sequences are of one language, the others change it again and again after a few steps
+            ends = [length] if b % 2 == 0 else [min(length, int(e)) for e in np.cumsum(rng.integers(3, 15, length // 3))]
+            ends = ends[: ends.index(length) + 1]
+            parts = [(names[(b // 2) % len(names)] if len(ends) == 1 else names[rng.integers(len(names))], e) for e in ends]
+            at = 0
+            for code, end in parts:
                 raw = by[code][rng.integers(len(by[code]))]
                 start = rng.integers(max(1, len(raw) - length // 2))
                 part = raw[start : start + end - at]

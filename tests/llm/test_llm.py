@@ -470,7 +470,7 @@ def test_language_cases(spark, net):
 
 
 def test_short_sentences_of_another_language_count(spark, net):
-    rows = [doc(1, SAMPLES["en"] * 4 + "\nWir haben gewartet.\n" + SAMPLES["en"], "en"), doc(2, SAMPLES["en"] * 4 + " The word Tabelle is German. " + SAMPLES["en"], "en")]
+    rows = [doc(1, SAMPLES["en"] * 4 + "\nWir haben gestern gemerkt, dass es nicht geht.\n" + SAMPLES["en"], "en"), doc(2, SAMPLES["en"] * 4 + " The word Tabelle is German. " + SAMPLES["en"], "en")]
     got = {(r.doc_id, m.code) for r in languages.document_languages(spark.createDataFrame(rows, DOC), net).collect() for m in r.more}
     assert got == {(1, "de")}
 
