@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["instants", "labels", "questions", "posts", "media", "runs", "more", "inventory", "items", "knowledge"]
+MODULES = ["instants", "labels", "questions", "posts", "media", "runs", "more", "inventory", "items", "knowledge", "files"]
 
 
 def registered() -> tuple[dict, dict]:

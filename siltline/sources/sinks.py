@@ -108,7 +108,7 @@ def knowledge_base(stats: DataFrame, tables: dict[str, DataFrame], path: str) ->
 
 def write_list(df: DataFrame, path: str) -> None:
     """A saved list back as CSV, quoted so that texts with line breaks and quotes come back as they were."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\\N").csv(path)
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "\\N").csv(path)
 
 
 def prepare(records: DataFrame, stored: DataFrame | None, key: str = "id", fingerprint: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
