@@ -160,13 +160,13 @@ def agg_note_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OWN = "SELECT post_id, regexp_extract(media_path, '([^/]*)$', 1) AS name, max(extracted_text) AS text, max(extraction_method) AS method FROM media_items WHERE media_type IN ('image', 'pdf') AND post_id IS NOT NULL AND media_path IS NOT NULL GROUP BY 1, 2"
-_READ = "SELECT post_id, regexp_extract(media_path, '([^/]*)$', 1) AS name, max(upper(extracted_text)) AS text, 'package' AS method, min(ocr_status IN ('UNRESOLVED', 'PARTIAL')) AS failed FROM media_items WHERE ocr_status IS NOT NULL AND post_id IS NOT NULL AND media_path IS NOT NULL GROUP BY 1, 2"
+_READ = "SELECT post_id, regexp_extract(media_path, '([^/]*)$', 1) AS name, max('read: ' || extracted_text) AS text, 'package' AS method, min(ocr_status IN ('UNRESOLVED', 'PARTIAL')) AS failed FROM media_items WHERE ocr_status IS NOT NULL AND post_id IS NOT NULL AND media_path IS NOT NULL GROUP BY 1, 2"
 
 
 def _injected(spark: SparkSession, d: str, add: bool) -> tuple[DataFrame, DataFrame]:
     m = table(spark, d, "media_items").filter("post_id is not null and media_path is not null").withColumn("name", I.base_name(F.col("media_path")))
     own = m.filter("media_type in ('image', 'pdf')").groupBy("post_id", "name").agg(F.max("extracted_text").alias("text"), F.max("extraction_method").alias("method"))
-    read = m.filter("ocr_status is not null").groupBy("post_id", "name").agg(F.max(F.upper("extracted_text")).alias("text"), F.lit("package").alias("method"), F.min(F.col("ocr_status").isin("UNRESOLVED", "PARTIAL")).alias("failed"))
+    read = m.filter("ocr_status is not null").groupBy("post_id", "name").agg(F.max(F.concat(F.lit("read: "), F.col("extracted_text"))).alias("text"), F.lit("package").alias("method"), F.min(F.col("ocr_status").isin("UNRESOLVED", "PARTIAL")).alias("failed"))
     return I.inject_media(own, read, add)
 
 

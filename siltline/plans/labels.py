@@ -31,11 +31,27 @@ def agg_post_topics(spark: SparkSession, d: str) -> DataFrame:
     return L.post_topics(_posts(spark, d)).select("row_no", "pos", "key", "name")
 
 
+_TECH0 = " UNION ALL ".join("SELECT '" + n + "' AS technology, '" + p + "' AS phrase" for n, ps in sorted(T.TECHNOLOGIES.items()) for p in ps)
+
+
 @R.query(f"""
-WITH t AS ({_TOPICS_SQL})
-SELECT key, arg_min(name, row_no * 10000 + pos) AS name, count(DISTINCT row_no) AS n_posts, count(*) AS n_mentions FROM t GROUP BY key""")
+WITH t AS ({_TOPICS_SQL}), g AS (SELECT key, arg_min(name, row_no * 10000 + pos) AS name, count(DISTINCT row_no) AS n_posts, count(*) AS n_mentions FROM t GROUP BY key), c AS (SELECT DISTINCT row_no, unnest(ai_analysis.concepts) AS c FROM posts),
+nc AS (SELECT key, count(DISTINCT c) AS n FROM t JOIN c USING (row_no) WHERE trim(c, ' ') <> '' GROUP BY 1), h AS (SELECT DISTINCT row_no, technology FROM posts, ({_TECH0}) p WHERE contains(lower(original_text), phrase)), nt AS (SELECT key, count(DISTINCT technology) AS n FROM t JOIN h USING (row_no) GROUP BY 1),
+q AS (SELECT row_no, count(*) AS n FROM posts JOIN questions ON post_id = posts.id GROUP BY 1), nq AS (SELECT key, sum(n)::BIGINT AS n FROM t JOIN q USING (row_no) GROUP BY 1)
+SELECT g.*, coalesce(nc.n, 0) AS n_concepts, coalesce(nt.n, 0) AS n_technologies, coalesce(nq.n, 0) AS n_questions FROM g LEFT JOIN nc USING (key) LEFT JOIN nt USING (key) LEFT JOIN nq USING (key)""")
 def agg_topics(spark: SparkSession, d: str) -> DataFrame:
-    return L.consolidate(L.post_topics(_posts(spark, d)).withColumnRenamed("name", "label"))
+    """Topics with their first spelling, posts, and the concepts, technologies and questions of those posts; each is counted on its own, so none multiplies another."""
+    p = _posts(spark, d)
+    t = L.post_topics(p)
+    own = t.select("row_no", "key")
+    concepts = p.select("row_no", F.explode("ai_analysis.concepts").alias("v")).filter("trim(v) <> ''").distinct()
+    named = p.select("row_no", F.explode(T.technologies(F.col("original_text"))).alias("v"))
+    asked = p.select("row_no", "id").join(table(spark, d, "questions").groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias("v")), "id").select("row_no", "v")
+    parts = [("n_concepts", concepts, F.countDistinct("v")), ("n_technologies", named, F.countDistinct("v")), ("n_questions", asked, F.sum("v"))]
+    out = L.consolidate(t.withColumnRenamed("name", "label"))
+    for name, rows, count in parts:
+        out = out.join(own.join(rows, "row_no").groupBy("key").agg(count.cast("long").alias(name)), "key", "left").na.fill(0, [name])
+    return out
 
 
 @R.query(f"""
@@ -134,7 +150,7 @@ def join_unmatched_groups(spark: SparkSession, d: str) -> DataFrame:
     """Topics that no reference term is written as."""
     e = _posts(spark, d).select("row_no", F.explode(F.array_distinct("ai_analysis.topics")).alias("label")).filter("trim(label) <> ''")
     terms = table(spark, d, "reference_terms").filter("kind = 'topic'").select(F.col("term").alias("label")).distinct()
-    return e.join(F.broadcast(terms), "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+    return e.join(terms, "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @R.query("""

@@ -188,10 +188,21 @@ WITH q AS (SELECT question_no, post_id, trim(regexp_replace(lower(question), '[^
      c AS (SELECT q.question_no, count(m.media_no) AS hits, min(m.media_no) AS media_no FROM q LEFT JOIN m ON m.post_id = q.post_id AND contains(m.t, q.n) WHERE q.n <> '' GROUP BY 1)
 SELECT question_no, CASE hits WHEN 0 THEN 'none' WHEN 1 THEN 'attached' ELSE 'ambiguous' END AS outcome, CASE WHEN hits = 1 THEN media_no END AS media_no FROM c""")
 def join_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Questions attached to the one item of their post that holds them; none and several stay unattached."""
-    q = table(spark, d, "questions").select("question_no", "post_id", T.normalise_label(F.col("question")).alias("n")).filter("n <> ''")
-    m = _m(spark, d).filter("extracted_text <> ''").select("media_no", F.col("post_id").alias("p"), T.normalise_label(F.col("extracted_text")).alias("t"))
-    hits = q.join(m, (F.col("post_id") == F.col("p")) & F.contains("t", F.col("n"))).groupBy("question_no").agg(F.count("*").alias("hits"), F.min("media_no").alias("one"))
+    """Questions attached to the one item of their post that holds them; none and several stay unattached.
+
+    A question's longest inner word stands whole in any text that holds the question, so it is the join key within the post: words
+    of texts are joined without the texts, and only what shares that word is tested. Questions of one or two words, which have
+    no inner word, are tested against the texts of their post.
+    """
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    inner = F.split("n", " ")
+    inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = table(spark, d, "questions").select("question_no", "post_id", T.normalise_label(F.col("question")).alias("n")).filter("n <> ''").withColumn("w", longest)
+    m = _m(spark, d).filter("extracted_text <> ''").select("media_no", "post_id", T.normalise_label(F.col("extracted_text")).alias("t"))
+    met = m.select("media_no", "post_id", F.explode(words(F.col("t"))).alias("w")).join(q.filter("w is not null"), ["post_id", "w"]).select("media_no", "question_no", "n")
+    met = met.unionByName(m.select("media_no", "post_id").join(q.filter("w is null").select("question_no", "post_id", "n"), "post_id").select("media_no", "question_no", "n"))
+    hits = met.join(m.select("media_no", "t"), "media_no").filter(F.contains("t", F.col("n"))).groupBy("question_no").agg(F.count("*").alias("hits"), F.min("media_no").alias("one"))
     out = q.select("question_no").join(hits, "question_no", "left")
     return out.select("question_no", F.when(F.col("hits").isNull(), "none").when(F.col("hits") == 1, "attached").otherwise("ambiguous").alias("outcome"), F.when(F.col("hits") == 1, F.col("one")).alias("media_no"))
 

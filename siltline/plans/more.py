@@ -248,11 +248,14 @@ def inc_visual_cache(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""
 SELECT post_id, row_no, worker FROM (SELECT p.id AS post_id, p.row_no, r.worker_id AS worker, row_number() OVER (PARTITION BY p.row_no ORDER BY r.logged_at DESC, r.run_no DESC) AS k FROM posts p JOIN run_state r ON r.post_id = p.id AND r.logged_at <= p.ingested_at + INTERVAL 30 DAY) WHERE k = 1""")
 def join_latest_run(spark: SparkSession, d: str) -> DataFrame:
-    """The last run of each capture that was logged at most thirty days after it: an as-of join by aggregation."""
-    r = _t(spark, d, "run_state").select("post_id", "logged_at", "run_no", F.col("worker_id").alias("worker"))
-    p = _t(spark, d, "posts").select(F.col("id").alias("post_id"), "row_no", "ingested_at")
-    j = p.join(r, "post_id").filter(F.col("logged_at") <= F.col("ingested_at") + F.expr("interval 30 days"))
-    return j.groupBy("post_id", "row_no").agg(F.max(F.struct("logged_at", "run_no", "worker")).alias("m")).select("post_id", "row_no", "m.worker")
+    """The last run of each capture that was logged at most thirty days after it: an as-of join by one ordered pass.
+
+    Runs and captures of a post stand in the order of their times, and each capture takes the last run before it; nothing multiplies.
+    """
+    r = _t(spark, d, "run_state").filter("logged_at is not null").select("post_id", F.col("logged_at").alias("t"), F.lit(0).alias("kind"), F.struct("logged_at", "run_no", F.col("worker_id").alias("worker")).alias("run"), F.lit(None).cast("long").alias("row_no"))
+    p = _t(spark, d, "posts").filter("ingested_at is not null").select(F.col("id").alias("post_id"), (F.col("ingested_at") + F.expr("interval 30 days")).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(r.schema["run"].dataType).alias("run"), "row_no")
+    last = F.max("run").over(W.partitionBy("post_id").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return r.unionByName(p).withColumn("last", last).filter("kind = 1 and last is not null and post_id is not null").select("post_id", "row_no", "last.worker")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

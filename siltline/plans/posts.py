@@ -13,7 +13,8 @@ from siltline.functions import urls as U
 from siltline.functions.digests import CHUNK, list_digests, record_digest
 from siltline.functions.secrets import holds_secret, redact_secrets
 from siltline.operators.dedupe import keepers
-from siltline.operators.merging import merge_lists, outcomes, reusable
+from siltline.operators.knowledge import small
+from siltline.operators.merging import merge_lists, reusable
 from siltline.operators.ranking import ranked
 from siltline.plans._registry import Registry
 from siltline.session import table
@@ -195,21 +196,25 @@ def val_unique_id(spark: SparkSession, d: str) -> DataFrame:
     return _posts(spark, d).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@R.query("""
-WITH i AS (
-  SELECT row_no, 'error' AS level, 'text' AS field FROM posts WHERE coalesce(trim(original_text, ' '), '') = '' UNION ALL
-  SELECT row_no, 'warning', 'author' FROM posts WHERE source.author IS NULL UNION ALL
-  SELECT row_no, 'warning', 'url' FROM posts WHERE source.url IS NULL UNION ALL
-  SELECT row_no, 'error', 'platform' FROM posts WHERE source.platform IS NULL OR source.platform NOT IN (SELECT platform FROM platforms) UNION ALL
-  SELECT row_no, 'warning', 'summary' FROM posts WHERE coalesce(trim(ai_analysis.summary, ' '), '') = '')
-SELECT level, field, count(*) AS n FROM i GROUP BY 1, 2""")
+_CHECKS = [
+    ("error", "id", "coalesce(trim(id, ' '), '') = ''"), ("error", "text", "coalesce(trim(original_text, ' '), '') = ''"), ("error", "platform", "source.platform IS NULL OR source.platform NOT IN (SELECT platform FROM platforms)"), ("error", "ingested_at", "ingested_at IS NULL"),
+    ("error", "url form", "source.url IS NOT NULL AND NOT regexp_matches(trim(source.url, ' '), '^https?://[^/?#]')"), ("error", "domain", "classification.domain IS NULL"), ("warning", "author", "source.author IS NULL"), ("warning", "url", "source.url IS NULL"), ("warning", "capture_method", "source.capture_method IS NULL"),
+    ("warning", "summary", "coalesce(trim(ai_analysis.summary, ' '), '') = ''"), ("warning", "topics", "len(list_filter(coalesce(ai_analysis.topics, []::VARCHAR[]), lambda x: coalesce(trim(x, ' '), '') <> '')) = 0"), ("warning", "blank topic", "len(list_filter(coalesce(ai_analysis.topics, []::VARCHAR[]), lambda x: coalesce(trim(x, ' '), '') = '')) > 0"),
+]
+
+
+@R.query("SELECT level, field, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{lv}' AS level, '{f}' AS field FROM posts WHERE {c}" for lv, f, c in _CHECKS) + ") GROUP BY 1, 2")
 def val_document(spark: SparkSession, d: str) -> DataFrame:
-    """Problems of posts by level and field, found in one scan."""
+    """Problems of posts by level and field: identity, source, text, labels and classification, found in one scan."""
     known = table(spark, d, "platforms").select(F.col("platform").alias("p"), F.lit(True).alias("known")).distinct()
-    p = _posts(spark, d).join(F.broadcast(known), F.col("source.platform") == F.col("p"), "left")
+    p = _posts(spark, d).join(known, F.col("source.platform") == F.col("p"), "left")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    checks = [("error", "text", blank(F.col("original_text"))), ("warning", "author", F.col("source.author").isNull()), ("warning", "url", F.col("source.url").isNull()), ("error", "platform", F.col("known").isNull()), ("warning", "summary", blank(F.col("ai_analysis.summary")))]
-    issues = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(lv).alias("level"), F.lit(f).alias("field"))) for lv, f, c in checks]))
+    topics = F.coalesce(F.col("ai_analysis.topics"), F.array().cast("array<string>"))
+    tests = [
+        blank(F.col("id")), blank(F.col("original_text")), F.col("known").isNull(), F.col("ingested_at").isNull(), F.col("source.url").isNotNull() & ~F.trim("source.url").rlike("^https?://[^/?#]"), F.col("classification.domain").isNull(), F.col("source.author").isNull(), F.col("source.url").isNull(),
+        F.col("source.capture_method").isNull(), blank(F.col("ai_analysis.summary")), F.size(F.filter(topics, lambda x: ~blank(x))) == 0, F.exists(topics, blank),
+    ]
+    issues = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(lv).alias("level"), F.lit(f).alias("field"))) for (lv, f, _), c in zip(_CHECKS, tests, strict=True)]))
     return p.select(F.explode(issues).alias("i")).groupBy("i.level", "i.field").agg(F.count("*").alias("n"))
 
 
@@ -363,15 +368,15 @@ SELECT term_id, count(row_no) AS n_posts, min(row_no) AS first_post FROM t LEFT
 def join_mention(spark: SparkSession, d: str) -> DataFrame:
     """Posts whose text names a concept as whole words; concepts without evidence count zero.
 
-    A term's first word is the join key: texts are cut into their distinct words, so only texts with the
-    first word are tested for the whole term.
+    A term's first word is the join key: texts are cut into their distinct words, which carry no text; what meets a term is
+    joined to its text and tested for the whole term.
     """
     terms = table(spark, d, "reference_terms").filter("kind = 'concept'").select("term_id", T.normalise_label(F.col("term")).alias("n"))
     terms = terms.withColumn("w", F.substring_index("n", " ", 1))
     h = _posts(spark, d).filter("original_text is not null").select("row_no", T.normalise_label(F.col("original_text")).alias("h"))
-    words = h.select("row_no", "h", F.explode(F.array_distinct(F.split("h", " "))).alias("w"))
+    met = h.select("row_no", F.explode(F.array_distinct(F.split("h", " "))).alias("w")).join(small(terms), "w").select("row_no", "term_id", "n")
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    hits = words.join(F.broadcast(terms), "w").filter(F.contains(pad("h"), pad("n"))).groupBy("term_id").agg(F.count("*").alias("c"), F.min("row_no").alias("first_post"))
+    hits = met.join(h, "row_no").filter(F.contains(pad("h"), pad("n"))).groupBy("term_id").agg(F.count("*").alias("c"), F.min("row_no").alias("first_post"))
     return terms.join(hits, "term_id", "left").select("term_id", F.coalesce("c", F.lit(0)).cast("long").alias("n_posts"), "first_post")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.session import table
+from siltline.session import checkpointed, table
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -19,33 +19,68 @@ def hourly_stream(events: DataFrame, late: str = "2 days") -> DataFrame:
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+BUCKETS = 64  # parts of a store; a batch rewrites those that its keys fall into
+
+
 def upsert_latest(batch: DataFrame, store: str, key: str, order: list[str]) -> None:
     """Merge a micro-batch into a parquet store that keeps the latest row of each key.
 
-    The new state is written beside the old one and its number is published last, so a run that is lost
-    half-way leaves the old state in force, and a batch given twice changes nothing.
+    The store is cut into BUCKETS parts by a hash of the key; a batch rewrites the parts that it touches and leaves the others. The
+    list of parts in force is written beside the old one and its number is published last, so a run that is lost half-way
+    leaves the old state in force, and a batch given twice changes nothing. Parts that neither of the last two lists names
+    are removed.
     """
     spark = batch.sparkSession
-    now = current(spark, store)
-    rows = batch if now is None else now.unionByName(batch.select(*now.columns))
-    others = [c for c in rows.columns if c != key]
-    best = rows.groupBy(key).agg(F.max(F.struct(*order, *[c for c in others if c not in order])).alias("m")).select(key, "m.*").select(*rows.columns)
-    version = _version(spark, store) + 1
-    best.write.mode("overwrite").parquet(f"{store}/v{version}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/versions")
+    rows = checkpointed(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return
+    version = _version(spark, store)
+    parts = _parts(spark, store, version)
+    now = _read(spark, store, {b: v for b, v in parts.items() if b in touched})
+    if now is not None:
+        rows = now.unionByName(rows.select(*now.columns))
+    others = [c for c in rows.columns if c not in (key, "bucket")]
+    best = rows.groupBy("bucket", key).agg(F.max(F.struct(*order, *[c for c in others if c not in order])).alias("m")).select("bucket", key, *[F.col(f"m.{c}").alias(c) for c in others])
+    best.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/data/v{version + 1}")
+    new = parts | dict.fromkeys(touched, version + 1)
+    spark.createDataFrame(sorted(new.items()), "bucket int, part int").coalesce(1).write.mode("overwrite").parquet(f"{store}/lists/v{version + 1}")
+    spark.createDataFrame([(version + 1,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/versions")
+    before = _parts(spark, store, version - 1) if version else {}
+    for b, v in before.items():
+        if parts.get(b) != v and new.get(b) != v:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/data/v{v}/bucket={b}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def _version(spark: SparkSession, store: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{store}/versions"):
         return 0
     return spark.read.schema("version long").parquet(f"{store}/versions").agg(F.max("version").alias("v")).first().v or 0
 
 
+def _parts(spark: SparkSession, store: str, version: int) -> dict[int, int]:
+    """The version of every part in force."""
+    if version < 1 or not _exists(spark, f"{store}/lists/v{version}"):
+        return {}
+    return {r.bucket: r.part for r in spark.read.parquet(f"{store}/lists/v{version}").collect()}
+
+
+def _read(spark: SparkSession, store: str, parts: dict[int, int]) -> DataFrame | None:
+    if not parts:
+        return None
+    return spark.read.option("basePath", f"{store}/data").parquet(*[f"{store}/data/v{v}/bucket={b}" for b, v in sorted(parts.items())])
+
+
 def current(spark: SparkSession, store: str) -> DataFrame | None:
     """The state in force, or None before the first batch."""
-    version = _version(spark, store)
-    return spark.read.parquet(f"{store}/v{version}") if version else None
+    now = _read(spark, store, _parts(spark, store, _version(spark, store)))
+    return None if now is None else now.drop("bucket")
 
 
 def ingest_captures(stream: DataFrame, store: str, checkpoint: str, key: str = "id", order: list[str] | None = None):  # noqa: ANN201
