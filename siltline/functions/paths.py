@@ -135,3 +135,9 @@ def redact_paths(c: Column) -> Column:
 def path_kinds(c: Column) -> Column:
     """The kinds of local path that stand in the text, sorted; none for null."""
     return _kinds(F.coalesce(_suspect(c), F.lit("")))
+
+
+def contained(c: Column) -> Column:
+    """Whether a path stays below its folder by what is written: not empty, not absolute, no drive, no share, no way up; false for null."""
+    way_up = r"(^|[\\/])\.\.([\\/]|$)"
+    return F.coalesce((F.trim(c) != "") & ~c.rlike(r"^\s*([\\/]|[A-Za-z]:)") & ~c.rlike(way_up) & ~F.contains(c, F.lit("\x00")), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltline.functions import text as T
-from siltline.functions.paths import path_kinds, redact_paths
+from siltline.functions.paths import contained, path_kinds, redact_paths
 from siltline.operators.merging import filled
 from siltline.operators.ranking import ranked_within
 from siltline.plans._registry import Registry
@@ -258,4 +258,22 @@ def join_latest_run(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(p).withColumn("last", last).filter("kind = 1 and last is not null and post_id is not null").select("post_id", "row_no", "last.worker")
 
 
+# ways of writing a path: those that stay below their folder, and those that don't
+_WAYS = ["", "/", "C:/", "../", "a/../../", "a/b/"]
+
+
+@R.query("SELECT media_no, media_no % 6 IN (0, 5) AS inside FROM media_items WHERE media_path IS NOT NULL")
+def flt_contained_path(spark: SparkSession, d: str) -> DataFrame:
+    """Whether paths of items, written in ways that leave their folder and in ways that don't, stay inside it."""
+    way = F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("media_no") % 6 + 1).cast("int"))
+    return _t(spark, d, "media_items").filter("media_path is not null").select("media_no", contained(F.concat(way, F.col("media_path"))).alias("inside"))
+
+
+@R.query("SELECT media_no, md5(extracted_text) AS public_digest, md5(trim(regexp_replace(extracted_text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS search_digest, 0 AS redactions FROM media_items")
+def prj_public_record(spark: SparkSession, d: str) -> DataFrame:
+    """Items as they may be published: the text without local paths and its form for searches; the text as read is dropped."""
+    m = _t(spark, d, "media_items").select("media_no", redact_paths(F.col("extracted_text")).alias("r"))
+    return m.select("media_no", F.md5("r.text").alias("public_digest"), F.md5(T.collapse(F.col("r.text"))).alias("search_digest"), F.col("r.n").alias("redactions"))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

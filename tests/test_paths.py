@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from siltline.functions.paths import find_paths, path_kinds, redact_paths, without_paths
+from siltline.functions.paths import contained, find_paths, path_kinds, redact_paths, without_paths
 from siltline.functions.secrets import redact_secrets, without_secrets
 
 W = "<LOCAL_WINDOWS_PATH>"
@@ -52,3 +52,10 @@ def test_known_secrets_go_first_and_the_longest_first(spark):
     df = spark.createDataFrame([("pass hunter2hunter2x and hunter2hunter2 and short",), (None,)], "t string")
     got = [r.r for r in df.select(redact_secrets(F.col("t"), ("hunter2hunter2", "hunter2hunter2x", "short")).alias("r")).collect()]
     assert got == ["pass [REDACTED] and [REDACTED] and short", None]
+
+
+def test_paths_that_leave_their_folder(spark):
+    inside = ["a.txt", "a/b.txt", "a..b/c", "..a", "a/...", " x"]
+    outside = ["", " ", "/a", "\\\\srv\\x", "C:x", "c:\\x", "..", "a/..", "../a", "a/../b", "a\\..\\b", "a\x00b", None]
+    df = spark.createDataFrame([(p,) for p in inside + outside], "p string")
+    assert [r.c for r in df.select(contained(F.col("p")).alias("c")).collect()] == [True] * len(inside) + [False] * len(outside)
