@@ -253,7 +253,9 @@ def test_pieces_of_another_hand(field):
     texts = [t.replace("[[", "").replace("]]", "") for _, t in OTHERS]
     found = personal.Decoder(field).find(texts)
     hit = [(t.index("[["), kind) in {(a, k) for a, _, k in got} for (kind, t), got in zip(OTHERS, found, strict=True)]
-    assert sum(hit) >= 0.85 * len(OTHERS), [o for o, h in zip(OTHERS, hit, strict=True) if not h]
+    missed = [kind for (kind, _), h in zip(OTHERS, hit, strict=True) if not h]
+    # numbers, addresses and e-mail are told by their form; names without a common given name mostly aren't (README)
+    assert set(missed) <= {"person"} and sum(hit) >= 17, missed
 
 
 def test_addresses_of_any_length(field):
