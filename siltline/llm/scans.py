@@ -9,7 +9,8 @@ then reflowed into paragraphs with SQL windows over its lines.
 
 Misread forms are looked for in one scan whatever their number: the workers hold a bit table of their hashes, and what
 hits it is joined to the forms afterwards. Every other step joins by key after partial aggregation, and the lines
-of a title are spread over SALT keys, so a post with many items is no hot group.
+of a title are spread over SALT keys, so a post with many items is no hot group. Tables that grow with the data and are read
+from a checkpoint are joined by sorting (``sorted_side``), so the driver never holds one.
 
 Defined results: null texts have no defects and stay null; empty texts, and texts of nothing but page numbers and titles,
 come out empty; items of a null post are compared with nothing but themselves; rows that repeat another one have the same
@@ -36,6 +37,7 @@ RECURRING = 0.5  # share of lines of a make that must come back for its lines to
 LEAST_BITS, MOST_BITS = 20, 30  # the bit table has 2 ** so many bits: at least 64 for each form, or MOST_BITS
 PROBES = 3  # bits of each form
 SALT = 16  # keys over which the lines of one title are spread
+PIECE = 18  # the bit table is put together in pieces of 2 ** so many bits
 # Glyphs that scanning confuses, and what stands for them in a skeleton. Each glyph is replaced by itself,
 # wide ones by the narrow ones that they are taken for, so no order of replacing matters: cl, c1, el and d are all 'el'.
 NARROW = str.maketrans("c51i+0@9ſ6h", "eslltoagfbb")
@@ -202,6 +204,11 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: compressed files, and rows that are repeated, pass for a fraction of their size in memory."""
+    return df.hint("merge")
+
+
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """word, pair, n: counts of words (pair null) and of hashed pairs of neighbouring words (word null)."""
 
@@ -239,7 +246,7 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     words = words.filter(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2) & ~F.col("word").contains("-"))
     clean = words.filter((F.col("n") >= MIN_GOOD) & F.col("word").rlike(r"^[\p{L}]+$"))
     goods = clean.select("k", F.col("word").alias("good"), F.col("n").alias("n_good"))
-    bad = words.join(goods, "k").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= MIN_RATIO * F.col("n")))
+    bad = words.join(sorted_side(goods), "k").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= MIN_RATIO * F.col("n")))
     odd = ~F.col("word").rlike(r"^[\p{L}&&[^ſ]]+$")
     bad = bad.filter(odd | (F.length("word") >= 3)).select(F.col("word").alias("bad"), "good", "n_good")
 
@@ -261,17 +268,23 @@ def _cells(words: list[str], bits: int) -> np.ndarray:
 
 
 def bit_table(forms: DataFrame, column: str, n: int) -> np.ndarray:
-    """The bits of so many strings, packed to bytes; each byte is put together by an aggregate."""
+    """The bits of so many strings, packed to bytes; the workers put pieces of it together, which are fetched a partition at a time."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(64 * max(n, 1))))))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cell = _cells(list(b[column]), bits).reshape(-1)
-            yield pd.DataFrame({"at": (cell >> 3).astype(np.int32), "bit": (1 << (cell & 7)).astype(np.int32)})
+            yield pd.DataFrame({"piece": (cell >> PIECE).astype(np.int32), "bit": (cell & ((1 << PIECE) - 1)).astype(np.int32)})
+
+    def packed(piece: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << PIECE, bool)
+        on[piece["bit"].to_numpy()] = True
+        return pd.DataFrame({"piece": piece["piece"].iloc[:1], "bits": [np.packbits(on, bitorder="little").tobytes()]})
 
-    packed = forms.select(column).mapInPandas(hashed, "at int, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    cells = forms.select(column).mapInPandas(hashed, "piece int, bit int")
     table = np.zeros(1 << (bits - 3), np.uint8)
-    table[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.uint8)
+    for r in cells.groupBy("piece").applyInPandas(packed, "piece int, bits binary").toLocalIterator():
+        table[r.piece << (PIECE - 3) : (r.piece + 1) << (PIECE - 3)] = np.frombuffer(r.bits, np.uint8)
     return table
 
 
@@ -332,7 +345,7 @@ class Findings:
     def misread(self) -> DataFrame:
         """media_no, bad, good: misread words whose restored form stands beside the same neighbour elsewhere."""
         bad = self.found.filter("what = 'bad'").select("media_no", F.col("a").alias("bad"), F.col("b").alias("prev"), F.col("c").alias("next"))
-        contexts = bad.select("bad", "prev", "next").distinct().join(self.forms, "bad")
+        contexts = bad.select("bad", "prev", "next").distinct().join(sorted_side(self.forms), "bad")
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -342,8 +355,8 @@ class Findings:
 
         needs = contexts.mapInPandas(hashed, "bad string, good string, pair long, given boolean").filter("given").select("bad", "good", "pair").distinct()
         pairs = self.counts.filter("pair is not null").select("pair", F.col("n").alias("pn"))
-        supported = needs.join(pairs, "pair").groupBy("bad", "good").agg(F.max("pn").alias("pn")).filter("pn >= 2").select("bad", "good")
-        return bad.select("media_no", "bad").distinct().join(supported, "bad")
+        supported = needs.join(sorted_side(pairs), "pair").groupBy("bad", "good").agg(F.max("pn").alias("pn")).filter("pn >= 2").select("bad", "good")
+        return bad.select("media_no", "bad").distinct().join(sorted_side(supported), "bad")
 
     def hyphens(self) -> DataFrame:
         """media_no, left, right: words split at a line or page end by a mark that isn't their own."""
@@ -351,10 +364,10 @@ class Findings:
         pairs = b.select("left", "right", "mark").distinct()
         words = self.counts.filter("word is not null").select("word", "n")
         for name, c in (("joined", F.concat("left", "right")), ("kept", F.concat("left", F.lit("-"), "right")), ("alone_l", F.col("left")), ("alone_r", F.col("right"))):
-            pairs = pairs.withColumn("word", c).join(words.withColumnRenamed("n", name), "word", "left").drop("word").na.fill(0, [name])
+            pairs = pairs.withColumn("word", c).join(sorted_side(words.withColumnRenamed("n", name)), "word", "left").drop("word").na.fill(0, [name])
         own = F.when(F.col("mark").isin(*_MARKS_OF_BREAKS), False).when(F.col("kept") >= F.greatest(F.col("joined"), F.lit(1)), True)
         own = own.when(F.col("joined") > 0, False).otherwise((F.col("alone_l") >= 5) & (F.col("alone_r") >= 5))
-        return b.join(pairs.filter(~own).select("left", "right", "mark"), ["left", "right", "mark"])
+        return b.join(sorted_side(pairs.filter(~own).select("left", "right", "mark")), ["left", "right", "mark"])
 
     def titles(self) -> DataFrame:
         """media_no, key, numbered: running titles of items, and whether a page number stands in them."""
@@ -368,7 +381,7 @@ class Findings:
         running = checkpointed(groups.filter("lines > 1").join(makes, "make").select("place", "key", "varies"))
         # a title of a post with a third of all items is one key: its lines are spread, its one row is repeated
         running = running.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        hits = lines.withColumn("salt", F.pmod("media_no", F.lit(SALT)).cast("int")).join(running, ["place", "key", "salt"])
+        hits = lines.withColumn("salt", F.pmod("media_no", F.lit(SALT)).cast("int")).join(sorted_side(running), ["place", "key", "salt"])
         return hits.groupBy("media_no", "key").agg(F.max(F.col("lead") | (F.col("wide") & F.col("varies"))).alias("numbered"))
 
     def defects(self) -> DataFrame:

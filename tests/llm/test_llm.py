@@ -200,6 +200,24 @@ def test_one_post_with_half_of_all_items(spark):
     assert got == 1500
 
 
+def test_no_table_of_the_scans_is_broadcast(spark):
+    rows = [media(k, f"Shared Title Line\nThe pipeline reads the parti-\ntion {k}.", post_id=f"s{k % 3}") for k in range(30)] + [media(100, "Nobody reads the p1peline of a partition.")]
+    f = scans.Findings(spark.createDataFrame(rows, MEDIA))
+    for out in (f.titles(), f.misread(), f.hyphens(), scans.misread_forms(f.counts)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count()
+
+
+def test_bit_table_holds_the_bits_of_all_forms(spark):
+    words = [f"form{k}" for k in range(20_000)]
+    forms = spark.createDataFrame([(w,) for w in words], "bad string")
+    for n in (1, len(words)):
+        table = scans.bit_table(forms, "bad", n)
+        bits = np.unpackbits(table, bitorder="little")
+        assert set(np.flatnonzero(bits)) == set(scans._cells(words, len(bits).bit_length() - 1).reshape(-1).tolist())
+        assert scans._hit(table, words) == words
+
+
 def test_scans_of_nothing(spark):
     assert scans.scan_defects(spark.createDataFrame([], MEDIA)).count() == 0
 
